@@ -41,3 +41,15 @@ def shuffle_parts(spark: SparkSession) -> int:
 def text_key(text="text"):
     """128-bit identity of a text as binary; null stays null."""
     return F.unhex(F.substring(F.sha2(F.col(text).cast("binary"), 256), 1, 32))
+
+
+def keep_rows(df: DataFrame, mask) -> DataFrame:
+    """The rows of df for which mask(batch) -> array of booleans holds; all columns as they were."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(mask(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

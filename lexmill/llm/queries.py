@@ -6,21 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import ppm, toxicity
 from .common import table
+from .decontaminate import benchmark_overlap
 from .media import text_media
 from .sharding import lpt_shards
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_shards(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
+    "op6_language": op6_language,
     "op8_media": op8_media,
+    "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
 
