@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ppm, toxicity
+from . import bpe, ppm, toxicity
 from .common import table
 from .decontaminate import benchmark_overlap
+from .licenses import scan_licenses
 from .media import text_media
 from .sharding import lpt_shards
 
@@ -17,10 +18,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
@@ -36,7 +45,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op5_licenses": op5_licenses,
     "op6_language": op6_language,
+    "op7_bpe": op7_bpe,
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
