@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, ppm, toxicity
 from .common import table
 from .decontaminate import benchmark_overlap
+from .html import extract_main_text
 from .licenses import scan_licenses
 from .media import text_media
 from .sharding import lpt_shards
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html": op2_html,
     "op3_decontaminate": op3_decontaminate,
     "op5_licenses": op5_licenses,
     "op6_language": op6_language,
