@@ -12,6 +12,7 @@ from .decontaminate import benchmark_overlap
 from .html import extract_main_text
 from .licenses import scan_licenses
 from .media import text_media
+from .neardup import near_duplicates
 from .sharding import lpt_shards
 
 
@@ -23,6 +24,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html": op2_html,
     "op3_decontaminate": op3_decontaminate,
+    "op4_neardup": op4_neardup,
     "op5_licenses": op5_licenses,
     "op6_language": op6_language,
     "op7_bpe": op7_bpe,
