@@ -14,6 +14,11 @@ from .licenses import scan_licenses
 from .media import text_media
 from .neardup import near_duplicates
 from .sharding import lpt_shards
+from .substrings import remove_repeats
+
+
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op2_html": op2_html,
     "op3_decontaminate": op3_decontaminate,
     "op4_neardup": op4_neardup,
