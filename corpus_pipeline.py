@@ -1,8 +1,54 @@
-"""The corpus pipeline; its stages follow as their operators land."""
+"""The corpus pipeline: documents to token ids in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns
+of documents; the last returns ids. Between stages the result is written down.
+Each works on all rows its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexmill.llm import bpe, ppm
+from lexmill.llm.common import cut, table
+from lexmill.llm.decontaminate import remove_contaminated
+from lexmill.llm.neardup import keep_first
+from lexmill.llm.substrings import drop_repeats
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; the others (no text, no letter) go."""
+    return ppm.keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near-duplicates."""
+    return keep_first(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that stand earlier in the corpus."""
+    return drop_repeats(docs)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no two benchmark items occur."""
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and hashes of ids and decoded text."""
+    return bpe.tokens(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("contamination", contamination), ("token_ids", token_ids)]
+
+#: No SQL expresses training, signatures or tokenization; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

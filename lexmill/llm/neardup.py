@@ -200,8 +200,8 @@ def links(docs: list[dict[int, int]], fresh: np.ndarray, left: np.ndarray, thres
     return found
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, class_size, is_first (one row per class) for every row."""
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """For each distinct text (tkey): class_id, class_size, and the key of the class's first text."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = source.select("doc_id", "text", text_key().alias("tkey"))
     signed = keyed.filter(F.col("text").isNotNull()).mapInArrow(_sign(bands, rows), "doc_id long, tkey binary, bands array<long>")
@@ -281,10 +281,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     sizes = keyed.filter("text is not null").groupBy("tkey").agg(F.count("*").alias("copies"))
     of_text = cut(of_text.join(sizes, "tkey"))
     totals = of_text.groupBy("label").agg(F.sum("copies").alias("class_size"))
-    of_text = of_text.join(totals, "label").select("tkey", "class_id", "first_key", "class_size")
+    return of_text.join(totals, "label").select("tkey", "class_id", "first_key", "class_size")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id, class_size, is_first (the class's first text and id) for every row."""
+    of_text = text_classes(docs, threshold, bands, rows)
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tkey") == F.col("first_key"))
     return (
-        keyed.select("doc_id", "tkey")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"))
         .join(of_text, "tkey", "left")
         .select("doc_id", F.when(F.col("tkey").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce(first, F.lit(True)).alias("is_first"))
     )
+
+
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of docs for each class of near-duplicates, and every row without a text."""
+    firsts = text_classes(docs, threshold).filter(F.col("tkey") == F.col("first_key")).select(F.col("tkey").alias("__tkey"), F.coalesce("class_id", F.lit(NO_ID)).alias("__at"))
+    keyed = docs.filter(F.col("text").isNotNull()).withColumn("__tkey", text_key()).withColumn("__at", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    kept = keyed.join(firsts, ["__tkey", "__at"]).dropDuplicates(["__tkey", "__at"]).select(*docs.columns)
+    return kept.unionByName(docs.filter(F.col("text").isNull()))
