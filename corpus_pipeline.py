@@ -32,7 +32,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no two benchmark items occur."""
+    """Documents in which neither two benchmark items nor a long part of one occur."""
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -31,6 +31,7 @@ from .arrays import BASE_A, BASE_B, buffers, pieces, span_hashes, words
 from .common import keep_rows
 
 WINDOW, MIN_ITEMS = 8, 2
+LONG_MATCH = 13  # words in a row that are no accident
 SHARD_BYTES = 8 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
 
@@ -196,7 +197,12 @@ def benchmark_overlap(docs: DataFrame, bench: DataFrame, window: int = WINDOW, m
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)
 
 
-def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
-    """docs without the documents in which min_items or more test items occur."""
+def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, long_match: int = LONG_MATCH) -> DataFrame:
+    """docs without the affected documents: min_items or more test items occur, or a match of long_match words."""
     match = matcher(docs, bench, window)
-    return keep_rows(docs, lambda batch: np.array([len(x) < min_items for x in match(batch["text"])[2]], bool))
+
+    def clean(batch: pa.RecordBatch) -> np.ndarray:
+        _, _, items, longest = match(batch["text"])
+        return (np.array([len(x) for x in items], np.int64) < min_items) & (longest < long_match)
+
+    return keep_rows(docs, clean)
