@@ -1,15 +1,618 @@
-"""Every named query of the library proper, with its SQL."""
+"""Every named query of the library proper, with its SQL.
+
+The SQL is written on its own, for another engine; only word lists, patterns and
+thresholds are shared, so that the two check each other.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numeric, quality, scaling
+from ..functions.pii import EMAILS, IPS, MASKS, PHONES, mask_emails, mask_ips, mask_phone_numbers, mask_pii, pii_counts
+from ..functions.text import SCRIPTS, html_to_text, script_language, text_stats
+from ..functions.tokens import best_pair, byte_pair_counts, pretoken_counts, pretokens, split_special
+from ..operators import bpe, dedup, distributed, html_blocks, minhash
+from . import clean
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+VOCAB, CONTEXT = 500, 4
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["clean_corpus"](spark, sf_dir)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _s(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+
+
+def _text():
+    return F.col("text")
+
+
+WORDS = r"list_filter(regexp_split_to_array(text, '[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]+'), lambda w: w <> '')"
+LETTERS = f"list_sum(list_transform({WORDS}, lambda w: length(w)))"
+
+
+# ---- sources and projections ----------------------------------------------------
+
+
+@query("SELECT page_id, url, html FROM pages")
+def scan_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+
+
+HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
+@query(f"SELECT page_id, {HTML} AS text FROM pages")
+def html_to_text_query(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+
+
+QUERIES["html_to_text"], SQL["html_to_text"] = QUERIES.pop("html_to_text_query"), SQL.pop("html_to_text_query")
+
+
+@query(f"SELECT page_id AS doc_id, text, url AS source FROM (SELECT page_id, url, {HTML} AS text FROM pages) WHERE length(text) > 100")
+def extract_filter(spark, sf_dir):
+    return clean.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def html_blocks_query(spark, sf_dir):
+    return html_blocks.extract_blocks(table(spark, sf_dir, "pages"))
+
+
+QUERIES["html_blocks"] = QUERIES.pop("html_blocks_query")
+LANG = "CASE " + " ".join(f"WHEN regexp_matches(text, '{ranges}') THEN '{lang}'" for lang, ranges in SCRIPTS) + " ELSE 'en' END"
+
+
+@query(f"SELECT doc_id, {LANG} AS language FROM documents")
+def lang_id(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", script_language(_text()).alias("language"))
+
+
+@query(f"SELECT doc_id, language FROM (SELECT doc_id, {LANG} AS language FROM documents) WHERE language = 'en'")
+def lang_filter(spark, sf_dir):
+    return clean.in_language(_docs(spark, sf_dir)).select("doc_id", "language")
+
+
+def _replaced(text: str, rules) -> str:
+    for placeholder, pattern in rules:
+        text = f"regexp_replace({text}, {_s(pattern)}, {_s(placeholder)}, 'g')"
+    return text
+
+
+def _counted(rule) -> str:
+    return f"SELECT doc_id, {_replaced('text', [rule])} AS text, length(regexp_extract_all(text, {_s(rule[1])}))::BIGINT AS n FROM documents"
+
+
+@query(f"SELECT doc_id, {_replaced('text', MASKS)} AS text FROM documents")
+def mask_pii_pkg(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", mask_pii(_text()).alias("text"))
+
+
+def _mask(f):
+    return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", f(_text()).alias("m")).select("doc_id", "m.text", F.col("m.n").cast("long").alias("n"))
+
+
+for _name, _f, _rule in (("mask_emails", mask_emails, EMAILS), ("mask_phones", mask_phone_numbers, PHONES), ("mask_ips", mask_ips, IPS)):
+    QUERIES[_name], SQL[_name] = _mask(_f), _counted(_rule)
+
+_MASKED = _replaced("text", MASKS)
+PII_COUNT = "(" + " + ".join(f"(length({_MASKED}) - length(replace({_MASKED}, {_s(p)}, '')) - length(text) + length(replace(text, {_s(p)}, ''))) // {len(p)}" for p, _ in MASKS) + ")"
+
+
+@query(f"SELECT sum({PII_COUNT})::BIGINT AS n, count(*) FILTER (WHERE {PII_COUNT} > 0)::BIGINT AS docs FROM documents")
+def pii_totals(spark, sf_dir):
+    n = pii_counts(_text())
+    return _docs(spark, sf_dir).select(n.alias("k")).agg(F.sum("k").alias("n"), F.count_if(F.col("k") > 0).alias("docs"))
+
+
+# ---- verdicts --------------------------------------------------------------------
+
+
+def _any_sql(keys) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), {_s(k)})" for k in keys) + ")"
+
+
+def _hits_sql(keys) -> str:
+    return "(" + " + ".join(f"contains(lower(text), {_s(k)})::INT" for k in keys) + ")"
+
+
+def _verdict(f, name="flag"):
+    return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", f(_text()).alias(name))
+
+
+def _labelled(f):
+    return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", f(_text()).alias("x")).select("doc_id", "x.label", F.round("x.score", 6).alias("score"))
+
+
+def _chars_sql(chars: str) -> str:
+    return f"(length(text) - length(translate(text, '{chars}', '')))"
+
+
+_N = f"len({WORDS})"
+_BASE = f"({_N} BETWEEN 50 AND 100000 AND {LETTERS}::DOUBLE / {_N} BETWEEN 3 AND 10)"
+GOPHER_PKG = f"({_BASE} AND {_chars_sql('#$%&*@')} <= 0.1 * {_N} AND {_chars_sql('•-*')} <= 0.9 * {_N} AND (length(text) - length(replace(text, '...', ''))) / 3 <= 0.3 * {_N})"
+GOPHER_STRICT = f"({_BASE} AND len(list_filter({WORDS}, lambda w: regexp_matches(w, '\\p{{L}}'))) >= 0.8 * {_N} AND len(list_filter(string_split(text, chr(10)), lambda x: ends_with(rtrim(x), '...'))) <= 0.3 * len(string_split(text, chr(10))))"
+_SIGNALS = f"(2 * ({_N} < 100)::INT + " + " + ".join(f"regexp_matches(text, '(?i){p}')::INT" for p in quality.BOILERPLATE) + " + 2 * (len(string_split(trim(text), chr(10))) > 5 AND len(list_filter(string_split(trim(text), chr(10)), lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) BETWEEN 1 AND 3)) > 0.5 * len(string_split(trim(text), chr(10))))::INT)"
+_TOXIC = _hits_sql(quality.TOXIC_STRICT)
+REASON = f"CASE WHEN {_any_sql(quality.NSFW_PKG)} THEN 'nsfw' WHEN {_any_sql(quality.TOXIC_PKG)} THEN 'toxicity' WHEN NOT coalesce({GOPHER_PKG}, false) THEN 'gopher' END"
+
+for _name, _f, _sql in (
+    ("nsfw_pkg", _verdict(quality.nsfw_pkg), f"SELECT doc_id, {_any_sql(quality.NSFW_PKG)} AS flag FROM documents"),
+    ("nsfw_strict", _labelled(quality.nsfw_strict), f"SELECT doc_id, CASE WHEN {_any_sql(quality.NSFW_STRICT)} THEN 'nsfw' ELSE 'non-nsfw' END AS label, 1.0::DOUBLE AS score FROM documents"),
+    ("toxic_pkg", _verdict(quality.toxic_pkg), f"SELECT doc_id, {_any_sql(quality.TOXIC_PKG)} AS flag FROM documents"),
+    ("toxic_strict", _labelled(quality.toxic_strict), f"SELECT doc_id, CASE WHEN {_TOXIC} >= 2 THEN 'toxic' ELSE 'non-toxic' END AS label, CASE WHEN {_TOXIC} >= 2 THEN {_TOXIC}::DOUBLE ELSE 1.0::DOUBLE END AS score FROM documents"),
+    ("quality_class", _labelled(quality.quality_class), f"SELECT doc_id, CASE WHEN s >= 3 THEN 'cc' ELSE 'wiki' END AS label, round(CASE WHEN s >= 3 THEN s::DOUBLE ELSE 1.0::DOUBLE / greatest(1, s + 1) END, 6) AS score FROM (SELECT doc_id, {_SIGNALS} AS s FROM documents)"),
+    ("gopher_pkg", _verdict(quality.gopher_pkg), f"SELECT doc_id, coalesce({GOPHER_PKG}, false) AS flag FROM documents"),
+    ("gopher_strict", _verdict(quality.gopher_strict), f"SELECT doc_id, coalesce({GOPHER_STRICT}, false) AS flag FROM documents"),
+):
+    QUERIES[_name], SQL[_name] = _f, _sql
+
+
+@query(f"SELECT coalesce({REASON}, 'kept') AS reason, count(*)::BIGINT AS n FROM documents GROUP BY 1")
+def reject_reasons(spark, sf_dir):
+    return _docs(spark, sf_dir).groupBy(F.coalesce(quality.reject_reason(_text()), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE {REASON} IS NULL")
+def quality_filter(spark, sf_dir):
+    return clean.accepted(_docs(spark, sf_dir)).select("doc_id")
+
+
+@query(f"SELECT doc_id, {_N}::BIGINT AS n_words, length(text)::BIGINT AS n_chars, len(string_split(text, chr(10)))::BIGINT AS n_lines, round(CASE WHEN {_N} > 0 THEN {LETTERS}::DOUBLE / {_N} ELSE 0 END, 6) AS mean_word_length FROM documents")
+def text_stats_query(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in text_stats(_text()).items()))
+
+
+QUERIES["text_stats"], SQL["text_stats"] = QUERIES.pop("text_stats_query"), SQL.pop("text_stats_query")
+
+
+# ---- deduplication ---------------------------------------------------------------
+
+
+@query("SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents GROUP BY md5(text)")
+def exact_dedup(spark, sf_dir):
+    return dedup.exact_dedup(_docs(spark, sf_dir)).select("doc_id", F.md5(_text().cast("binary")).alias("h"))
+
+
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
+
+
+@query(f"SELECT line, count(*)::BIGINT AS n FROM ({_LINES}) GROUP BY line")
+def line_counts(spark, sf_dir):
+    return dedup.line_counts(_docs(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, pos::INT AS pos, line FROM (SELECT *, count(*) OVER (PARTITION BY line) AS n FROM ({_LINES})) WHERE n = 1")
+def line_dedup(spark, sf_dir):
+    return dedup.unique_lines(_docs(spark, sf_dir))
+
+
+@query(f"SELECT d.doc_id, coalesce(t.text, '') AS text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM (SELECT *, count(*) OVER (PARTITION BY line) AS n FROM ({_LINES})) WHERE n = 1 GROUP BY doc_id) t USING (doc_id)")
+def line_dedup_docs(spark, sf_dir):
+    return dedup.line_dedup(_docs(spark, sf_dir))
+
+
+def _shingle_sql(k: int, short: bool, source: str = "documents") -> str:
+    grams = f"list_distinct(list_transform(range(0, greatest(len(ws) - {k - 1}, 1)), lambda i: array_to_string(ws[i + 1:i + {k}], ' ')))"
+    return f"SELECT doc_id, {grams if short else f'CASE WHEN len(ws) >= {k} THEN {grams} ELSE [] END'} AS shingles FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS ws FROM {source})"
+
+
+PERM, BANDS, ROWS = 32, 8, 4
+
+
+def _sig_sql(n: int, k: int, short: bool, source: str = "documents") -> str:
+    least = ", ".join(f"coalesce(list_min(list_transform(hs, lambda h: (h * {a} + {b}) % {minhash.PRIME})), {minhash.PRIME})" for a, b in minhash.coefficients(n))
+    return f"SELECT doc_id, [{least}] AS sig FROM (SELECT doc_id, list_transform(shingles, lambda s: ('0x' || substr(md5(s), 1, 7))::BIGINT) AS hs FROM ({_shingle_sql(k, short, source)}))"
+
+
+@query(f"SELECT doc_id, len(shingles)::BIGINT AS n, md5(array_to_string(list_sort(shingles), '|')) AS digest FROM ({_shingle_sql(5, True)})")
+def shingles(spark, sf_dir):
+    return minhash.shingled(_docs(spark, sf_dir), 5).select("doc_id", F.size("shingles").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("shingles"), "|").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT doc_id, array_to_string(sig, ',') AS sig FROM ({_sig_sql(PERM, 5, True)})")
+def minhash_sig(spark, sf_dir):
+    return minhash.signatures(_docs(spark, sf_dir), PERM, 5).select("doc_id", F.array_join("sig", ",").alias("sig"))
+
+
+_FIRSTS = "(SELECT * FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY md5(text)))"
+
+
+def _pairs_sql(n: int, bands: int, rows: int, k: int, short: bool, source: str) -> str:
+    keys = f"SELECT doc_id, unnest(list_transform(range(0, {bands}), lambda i: i::VARCHAR || ':' || array_to_string(sig[i * {rows} + 1:i * {rows} + {rows}], ','))) AS key FROM ({_sig_sql(n, k, short, source)})"
+    return f"WITH bands AS ({keys}) SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.key = y.key AND x.doc_id < y.doc_id"
+
+
+def _distinct_docs(spark, sf_dir):
+    return dedup.exact_dedup(_docs(spark, sf_dir))
+
+
+@query(_pairs_sql(PERM, BANDS, ROWS, 5, True, _FIRSTS))
+def lsh_candidates(spark, sf_dir):
+    return minhash.candidates(minhash.signatures(_distinct_docs(spark, sf_dir), PERM, 5), BANDS, ROWS)
+
+
+@query()
+def minhash_keep(spark, sf_dir):
+    return minhash.keep_first(_docs(spark, sf_dir), PERM, BANDS, ROWS, 5)
+
+
+@query()
+def minhash_pkg(spark, sf_dir):
+    return minhash.keep_first(_docs(spark, sf_dir), 128, 9, 13, 3, short=False)
+
+
+@query()
+def minhash_strict(spark, sf_dir):
+    return minhash.keep_first(_docs(spark, sf_dir), 100, 8, 12, 5)
+
+
+# ---- tokens ------------------------------------------------------------------------
+
+_TOKENS = "regexp_extract_all(regexp_replace({t}, '(\\s)(\\s\\S)', '\\1' || chr(57344) || '\\2', 'g'), '''(?:[sdmt]|ll|ve|re)| ?\\p{{L}}+| ?\\p{{N}}+| ?[^\\s\\p{{L}}\\p{{N}}\\x{{E000}}]+|\\s+')"
+_TOKENS_OF = _TOKENS.format(t="text")
+
+
+@query("SELECT doc_id, len(string_split(text, '<|endoftext|>'))::BIGINT AS parts FROM documents")
+def bpe_docs(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(split_special(_text())).cast("long").alias("parts"))
+
+
+@query(f"SELECT doc_id, len(toks)::BIGINT AS n, md5(array_to_string(toks, '|')) AS digest FROM (SELECT doc_id, {_TOKENS_OF} AS toks FROM documents)")
+def pretokens_query(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", pretokens(_text()).alias("toks")).select("doc_id", F.size("toks").cast("long").alias("n"), F.md5(F.array_join("toks", "|").cast("binary")).alias("digest"))
+
+
+QUERIES["pretokens"], SQL["pretokens"] = QUERIES.pop("pretokens_query"), SQL.pop("pretokens_query")
+_COUNTS = f"SELECT tok, count(*)::BIGINT AS n FROM (SELECT unnest({_TOKENS_OF}) AS tok FROM documents) GROUP BY tok"
+_PAIRS = f"SELECT pair, sum(n)::BIGINT AS n FROM (SELECT n, unnest(list_transform(range(1, length(hex(encode(tok))) // 2), lambda i: substr(hex(encode(tok)), 2 * i - 1, 4))) AS pair FROM ({_COUNTS})) GROUP BY pair"
+
+
+@query(_COUNTS)
+def pretoken_counts_query(spark, sf_dir):
+    return pretoken_counts(_docs(spark, sf_dir))
+
+
+QUERIES["pretoken_counts"], SQL["pretoken_counts"] = QUERIES.pop("pretoken_counts_query"), SQL.pop("pretoken_counts_query")
+
+
+@query(_PAIRS)
+def byte_pair_counts_query(spark, sf_dir):
+    return byte_pair_counts(pretoken_counts(_docs(spark, sf_dir)))
+
+
+QUERIES["byte_pair_counts"], SQL["byte_pair_counts"] = QUERIES.pop("byte_pair_counts_query"), SQL.pop("byte_pair_counts_query")
+
+
+@query(f"SELECT pair, n FROM ({_PAIRS}) ORDER BY n DESC, pair DESC LIMIT 1")
+def best_pair_query(spark, sf_dir):
+    return best_pair(byte_pair_counts(pretoken_counts(_docs(spark, sf_dir))))
+
+
+QUERIES["best_pair"], SQL["best_pair"] = QUERIES.pop("best_pair_query"), SQL.pop("best_pair_query")
+
+
+@query()
+def bpe_train(spark, sf_dir):
+    merges = bpe.train(_docs(spark, sf_dir), VOCAB).merges
+    return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
+
+
+@query()
+def vocab(spark, sf_dir):
+    return spark.createDataFrame([(i, b.hex()) for i, b in sorted(bpe.train(_docs(spark, sf_dir), VOCAB).vocab.items())], "token_id int, token string")
+
+
+@query()
+def encode(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return bpe.encode(docs, bpe.train(docs, VOCAB))
+
+
+@query("SELECT doc_id, text FROM documents")
+def roundtrip(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    tokenizer = bpe.train(docs, VOCAB)
+    return bpe.decode(bpe.encode(docs, tokenizer), tokenizer)
+
+
+@query("SELECT doc_id, text FROM documents")
+def tokenizer_roundtrip(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    tokenizer = bpe.Tokenizer.from_json(bpe.train(docs, VOCAB).to_json())
+    return bpe.decode(bpe.encode(docs, tokenizer), tokenizer)
+
+
+@query()
+def compression_ratio(spark, sf_dir):
+    docs = _docs(spark, sf_dir).filter(F.trim("text") != "")
+    sizes = docs.agg(F.sum(F.octet_length("text")).alias("n_bytes"))
+    ids = bpe.encode(docs, bpe.train(docs, VOCAB)).agg(F.sum(F.size("ids")).alias("n_tokens"))
+    return sizes.join(F.broadcast(ids), F.lit(True)).select("n_bytes", "n_tokens", F.round(F.col("n_bytes") / F.col("n_tokens"), 6).alias("ratio"))
+
+
+@query(f"SELECT doc_id, (i - 1)::INT AS pos, array_to_string(toks[i:i + {CONTEXT - 1}], '|') AS x, array_to_string(toks[i + 1:i + {CONTEXT}], '|') AS y FROM (SELECT doc_id, toks, unnest(range(1, len(toks) - {CONTEXT} + 1)) AS i FROM (SELECT doc_id, {_TOKENS_OF} AS toks FROM documents))")
+def lm_windows(spark, sf_dir):
+    tokens = _docs(spark, sf_dir).select("doc_id", pretokens(_text()).alias("t"))
+    return tokens.select("doc_id", F.explode(bpe.windows(F.col("t"), CONTEXT)).alias("w")).select("doc_id", "w.pos", F.array_join("w.x", "|").alias("x"), F.array_join("w.y", "|").alias("y"))
+
+
+# ---- numeric kernels -----------------------------------------------------------------
+
+_V = "list_transform(embedding, lambda x: x::DOUBLE)"
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+def _spread(column="y"):
+    return lambda df: df.select("vec_id", F.posexplode(column).alias("pos", "value")).select("vec_id", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"))
+
+
+def _spread_sql(inner: str, name: str = "y") -> str:
+    return f"SELECT vec_id, (unnest(range(1, len({name}) + 1)) - 1)::INT AS pos, round(unnest({name}), 6) AS value FROM ({inner})"
+
+
+def _kernel(name: str, f, sql: str) -> None:
+    """A kernel on each embedding; sql maps the list x to a list."""
+    QUERIES[name] = lambda spark, sf_dir: _spread()(_vectors(spark, sf_dir).select("vec_id", f(F.col("x")).alias("y")))
+    SQL[name] = _spread_sql(f"SELECT vec_id, {sql} AS y FROM (SELECT vec_id, {_V} AS x FROM embeddings)")
+
+
+_LSE = "(list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))))"
+#: Fixed rule weights: row i, column j.
+DIM, HIDDEN, D_OUT = 64, 4, 3
+
+
+def _weight(i: int, j: int, salt: int) -> float:
+    return ((i * 31 + j * 17 + salt * 7) % 13 - 6) / 10
+
+
+def _matrix(rows: int, cols: int, salt: int):
+    return F.array(*(F.array(*(F.lit(_weight(i, j, salt)) for j in range(cols))) for i in range(rows)))
+
+
+def _matrix_sql(rows: int, cols: int, salt: int, x: str) -> list[str]:
+    return [f"list_sum(list_transform(range(1, {cols + 1}), lambda j: {x}[j] * (((({i} * 31 + (j - 1) * 17 + {salt} * 7) % 13) - 6)::DOUBLE / 10)))" for i in range(rows)]
+
+
+_H1, _H3 = _matrix_sql(HIDDEN, DIM, 1, "x"), _matrix_sql(HIDDEN, DIM, 3, "x")
+_HID = "[" + ", ".join(f"({a}) / (1 + exp(-({a}))) * ({b})" for a, b in zip(_H1, _H3, strict=True)) + "]"
+_kernel("softmax", numeric.softmax, f"list_transform(x, lambda v: exp(v - {_LSE}))")
+_kernel("log_softmax", numeric.log_softmax, f"list_transform(x, lambda v: v - {_LSE})")
+_kernel("silu", lambda x: F.transform(x, numeric.silu), "list_transform(x, lambda v: v / (1 + exp(-v)))")
+_kernel("rmsnorm", numeric.rmsnorm, "list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda u: u * u)) / len(x) + 1e-5))")
+_kernel("linear", lambda x: numeric.linear(x, _matrix(D_OUT, DIM, 2)), "[" + ", ".join(_matrix_sql(D_OUT, DIM, 2, "x")) + "]")
+_kernel("rope", lambda x: numeric.rope(x, (F.col("vec_id") % 128).cast("double")), "list_transform(range(1, 65), lambda i: CASE WHEN i % 2 = 1 THEN x[i] * cos((vec_id % 128) / pow(10000.0::DOUBLE, (i - 1) / 64.0::DOUBLE)) - x[i + 1] * sin((vec_id % 128) / pow(10000.0::DOUBLE, (i - 1) / 64.0::DOUBLE)) ELSE x[i - 1] * sin((vec_id % 128) / pow(10000.0::DOUBLE, (i - 2) / 64.0::DOUBLE)) + x[i] * cos((vec_id % 128) / pow(10000.0::DOUBLE, (i - 2) / 64.0::DOUBLE)) END)")
+_kernel("topk_logits", lambda x: numeric.top_k_mask(x, 8), "list_transform(x, lambda v: CASE WHEN v >= list_sort(x, 'DESC')[8] THEN v END)")
+_kernel("swiglu", lambda x: numeric.swiglu(x, _matrix(HIDDEN, DIM, 1), _matrix(D_OUT, HIDDEN, 2), _matrix(HIDDEN, DIM, 3)), "list_transform([" + _HID + "], lambda h: [" + ", ".join(_matrix_sql(D_OUT, HIDDEN, 2, "h")) + "])[1]")
+
+
+@query(f"SELECT vec_id, round({_LSE} - x[(label % 64) + 1], 6) AS loss FROM (SELECT vec_id, label, {_V} AS x FROM embeddings)")
+def cross_entropy(spark, sf_dir):
+    return _vectors(spark, sf_dir).select("vec_id", F.round(numeric.cross_entropy(F.col("x"), F.col("label") % 64), 6).alias("loss"))
+
+
+@query(f"SELECT round(avg(loss), 6) AS mean_loss, round(exp(avg(loss)), 6) AS perplexity FROM (SELECT {_LSE} - x[(label % 64) + 1] AS loss FROM (SELECT label, {_V} AS x FROM embeddings))")
+def perplexity(spark, sf_dir):
+    loss = _vectors(spark, sf_dir).select(numeric.cross_entropy(F.col("x"), F.col("label") % 64).alias("loss"))
+    return loss.agg(F.round(F.avg("loss"), 6).alias("mean_loss"), F.round(F.exp(F.avg("loss")), 6).alias("perplexity"))
+
+
+@query("SELECT e.event_id, v.vec_id, round(v.embedding[1]::DOUBLE, 6) AS first FROM events e JOIN embeddings v ON v.vec_id = e.user_id")
+def embedding_lookup(spark, sf_dir):
+    ids = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("vec_id"))
+    return ids.join(_vectors(spark, sf_dir), "vec_id").select("event_id", "vec_id", F.round(F.element_at("x", 1), 6).alias("first"))
+
+
+def _cells(spark, sf_dir):
+    return _vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("c", "v"))
+
+
+@query(f"SELECT i, k, round(sum(x * y), 6) AS v FROM (SELECT vec_id AS i, unnest(range(0, 64)) AS j, unnest({_V}) AS x FROM embeddings) a JOIN (SELECT j, k, ((((j * 31 + k * 17 + 5 * 7) % 13) - 6)::DOUBLE / 10) AS y FROM (SELECT unnest(range(0, 64)) AS j) CROSS JOIN (SELECT unnest(range(0, 3)) AS k)) b USING (j) GROUP BY i, k")
+def matmul(spark, sf_dir):
+    a = _cells(spark, sf_dir).select(F.col("vec_id").alias("i"), F.col("c").cast("long").alias("j"), "v")
+    b = spark.range(64 * 3).select((F.col("id") / 3).cast("long").alias("j"), (F.col("id") % 3).alias("k"))
+    b = b.withColumn("v", ((F.col("j") * 31 + F.col("k") * 17 + 35) % 13 - 6) / 10.0)
+    return numeric.matmul(a, b).select("i", "k", F.round("v", 6).alias("v"))
+
+
+LENGTH, HEAD = 16, 8
+_ATT = f"""WITH t AS (SELECT vec_id // {LENGTH} AS seq, vec_id % {LENGTH} AS pos, {_V} AS x FROM embeddings),
+s AS (SELECT a.seq, a.pos AS i, b.pos AS j, list_sum(list_transform(range(1, {HEAD + 1}), lambda c: a.x[c] * b.x[{HEAD} + c])) / sqrt({HEAD}) AS s, b.x AS x FROM t a JOIN t b ON a.seq = b.seq AND b.pos <= a.pos),
+m AS (SELECT *, max(s) OVER (PARTITION BY seq, i) AS top FROM s)"""
+
+
+def _attention(spark, sf_dir):
+    t = _vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / LENGTH).alias("seq"), (F.col("vec_id") % LENGTH).alias("pos"), F.slice("x", 1, HEAD).alias("q"), F.slice("x", HEAD + 1, HEAD).alias("k"), F.slice("x", 2 * HEAD + 1, HEAD).alias("v"))
+    return numeric.attention(t, t)
+
+
+@query(_ATT + f", r AS (SELECT seq, i, exp(s - top) AS e, unnest(range(0, {HEAD})) AS c, unnest(x[{2 * HEAD + 1}:{3 * HEAD}]) AS v FROM m) SELECT seq, i AS pos, c::INT AS c, round(sum(e * v) / sum(e), 6) AS value FROM r GROUP BY seq, i, c")
+def causal_attention(spark, sf_dir):
+    return _attention(spark, sf_dir).select("seq", "pos", F.posexplode("out").alias("c", "value")).select("seq", "pos", "c", F.round("value", 6).alias("value"))
+
+
+@query(_ATT + " SELECT seq, i AS pos, round(max(top) + ln(sum(exp(s - top))), 6) AS lse FROM m GROUP BY seq, i")
+def attention_lse(spark, sf_dir):
+    return _attention(spark, sf_dir).select("seq", "pos", F.round("lse", 6).alias("lse"))
+
+
+@query("SELECT event_id, round(value * least(1.0::DOUBLE, 1.0::DOUBLE / (sqrt((SELECT sum(value * value) FROM events)) + 1e-6)), 9) AS value FROM events")
+def grad_clip(spark, sf_dir):
+    return numeric.gradient_clip(table(spark, sf_dir, "events").select("event_id", "value"), "value", 1.0).select("event_id", F.round("value", 9).alias("value"))
+
+
+@query("SELECT event_id, round(q - 0.001 * 0.01 * q, 9) AS p, round(m1, 9) AS m, round(v1, 9) AS v FROM (SELECT *, value - 0.001 * sqrt(1 - pow(0.999::DOUBLE, 3)) / (1 - pow(0.9::DOUBLE, 3)) * m1 / (sqrt(v1) + 1e-8) AS q FROM (SELECT event_id, value, 0.9 * (value / 2) + (1 - 0.9::DOUBLE) * (value / 4) AS m1, 0.999 * abs(value / 8) + (1 - 0.999::DOUBLE) * (value / 4) * (value / 4) AS v1 FROM events))")
+def adamw_step(spark, sf_dir):
+    x = F.col("value")
+    step = numeric.adamw_step(x, x / 4, x / 2, F.abs(x / 8), F.lit(3.0))
+    return table(spark, sf_dir, "events").select("event_id", *(F.round(c, 9).alias(n) for n, c in step.items()))
+
+
+@query("SELECT it::BIGINT AS it, round(CASE WHEN it < 7 THEN it / 7.0::DOUBLE WHEN it < 21 THEN 0.1 + 0.5 * (1 + cos(pi() * (it - 7) / 14.0::DOUBLE)) * 0.9 ELSE 0.1 END, 9) AS lr FROM (SELECT unnest(range(0, 25)) AS it)")
+def cosine_lr(spark, sf_dir):
+    return spark.range(25).select(F.col("id").alias("it"), F.round(numeric.cosine_lr(F.col("id"), 1.0, 0.1, 7, 21), 9).alias("lr"))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS value FROM events GROUP BY event_type")
+def allreduce_mean(spark, sf_dir):
+    return distributed.allreduce_mean(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", F.round("value", 6).alias("value"))
+
+
+@query("SELECT vec_id, (vec_id % 4)::INT AS rank FROM embeddings")
+def shard_assign(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", distributed.owner(F.col("vec_id"), 4).alias("rank"))
+
+
+@query("SELECT label::BIGINT AS label, count(*)::BIGINT AS n, sum(len(embedding))::BIGINT AS params FROM embeddings GROUP BY label")
+def param_count(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"), F.sum(F.size("embedding")).alias("params"))
+
+
+@query()
+def ddp_buckets(spark, sf_dir):
+    """Parameters are the labels of the embeddings, a bounded set; their bytes are packed in order."""
+    sizes = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sum(F.size("embedding") * 4).alias("bytes")).orderBy("label").collect()
+    return spark.createDataFrame(distributed.pack_buckets([(r["label"], r["bytes"]) for r in sizes], 64_000), "label int, bucket int")
+
+
+# ---- scaling laws ------------------------------------------------------------------------
+
+_K = scaling.PUBLISHED
+_POINTS = "SELECT pow(10.0::DOUBLE, 17 + (i // 8) / 2.0::DOUBLE) AS c, pow(10.0::DOUBLE, 7 + (i % 8) * 0.35::DOUBLE) AS n FROM (SELECT unnest(range(0, 72)) AS i)"
+
+
+def _loss_sql(n: str, d: str) -> str:
+    return f"{_K['E']}::DOUBLE + {_K['A']} / pow({n}, {_K['alpha']}::DOUBLE) + {_K['B']} / pow({d}, {_K['beta']}::DOUBLE)"
+
+
+_P = f"SELECT n AS parameters, c AS compute_budget, c / (6 * n) AS tokens, {_loss_sql('n', 'c / (6 * n)')} AS loss FROM ({_POINTS})"
+
+
+@query(f"SELECT round(log10(parameters), 6) AS log_n, round(log10(compute_budget), 6) AS log_c, round(loss, 6) AS loss FROM ({_P})")
+def scaling_law(spark, sf_dir):
+    p = scaling.isoflop_points(spark)
+    return p.select(F.round(F.log10("parameters"), 6).alias("log_n"), F.round(F.log10("compute_budget"), 6).alias("log_c"), F.round("final_loss", 6).alias("loss"))
+
+
+@query(f"SELECT round(log10(parameters), 6) AS log_n, round(log10(compute_budget), 6) AS log_c, round(log10(tokens), 6) AS log_d FROM ({_P})")
+def scaling_tokens(spark, sf_dir):
+    p = scaling.isoflop_points(spark)
+    return p.select(F.round(F.log10("parameters"), 6).alias("log_n"), F.round(F.log10("compute_budget"), 6).alias("log_c"), F.round(F.log10(scaling.tokens_for(F.col("compute_budget"), F.col("parameters"))), 6).alias("log_d"))
+
+
+_RATIO = f"({_K['alpha']}::DOUBLE * {_K['B']} / ({_K['beta']} * {_K['A']}))"
+
+
+@query(f"SELECT k::INT AS k, round(log10(n), 6) AS log_n, round(log10({_RATIO} * n), 6) AS log_d, round({_loss_sql('n', f'({_RATIO} * n)')}, 6) AS loss FROM (SELECT k, sqrt(pow(10.0::DOUBLE, k) / (6 * {_RATIO})) AS n FROM (SELECT unnest(range(17, 26)) AS k))")
+def scaling_optimal(spark, sf_dir):
+    best = scaling.optimal(F.pow(F.lit(10.0), F.col("k")))
+    return spark.range(17, 26).select(F.col("id").cast("int").alias("k")).select("k", F.round(F.log10(best["n_opt"]), 6).alias("log_n"), F.round(F.log10(best["d_opt"]), 6).alias("log_d"), F.round(best["l_opt"], 6).alias("loss"))
+
+
+@query(f"SELECT k::BIGINT AS k, round(log10(n), 6) AS log_n, round({_loss_sql('n', '(1e19::DOUBLE / (6 * n))')}, 6) AS loss FROM (SELECT k, pow(10.0::DOUBLE, 6 + k * 5 / 99.0::DOUBLE) AS n FROM (SELECT unnest(range(0, 100)) AS k))")
+def scaling_curve(spark, sf_dir):
+    n = F.pow(F.lit(10.0), 6 + F.col("k") * 5 / 99.0)
+    return spark.range(100).select(F.col("id").alias("k")).select("k", F.round(F.log10(n), 6).alias("log_n"), F.round(scaling.loss(n, scaling.tokens_for(F.lit(1e19), n)), 6).alias("loss"))
+
+
+@query(f"SELECT count(*)::BIGINT AS points, round(log10(min(parameters)), 6) AS log_n_min, round(log10(max(parameters)), 6) AS log_n_max, round(min(loss), 6) AS loss_min, round(max(loss), 6) AS loss_max FROM ({_P})")
+def isoflop_summary(spark, sf_dir):
+    p = scaling.isoflop_points(spark)
+    return p.agg(F.count("*").alias("points"), F.round(F.log10(F.min("parameters")), 6).alias("log_n_min"), F.round(F.log10(F.max("parameters")), 6).alias("log_n_max"), F.round(F.min("final_loss"), 6).alias("loss_min"), F.round(F.max("final_loss"), 6).alias("loss_max"))
+
+
+@query(f"SELECT round(1 - sum(pow(loss - (loss + 0.01 * sin(log10(parameters) * 7)), 2)) / sum(pow(loss - mean, 2)), 6) AS r2 FROM (SELECT *, avg(loss) OVER () AS mean FROM ({_P}))")
+def r_squared(spark, sf_dir):
+    noisy = scaling.isoflop_points(spark)
+    y, off = F.col("final_loss"), 0.01 * F.sin(F.log10("parameters") * 7)
+    return noisy.agg(F.round(1 - F.sum(off * off) / (F.var_pop(y) * F.count(y)), 6).alias("r2"))
+
+
+@query()
+def scaling_fit(spark, sf_dir):
+    points = scaling.isoflop_points(spark)
+    k = scaling.fit(points)
+    return spark.createDataFrame([tuple(float(k[n]) for n in ("E", "A", "B", "alpha", "beta"))], "E double, A double, B double, alpha double, beta double")
+
+
+# ---- the cleaning plan -----------------------------------------------------------------
+
+_CLEAN = f"SELECT doc_id, lang, {_MASKED} AS text, {LANG} AS language FROM documents WHERE length(text) > 100"
+_KEPT = f"SELECT * FROM (SELECT *, {REASON} AS reason FROM ({_CLEAN}) WHERE language = 'en') WHERE reason IS NULL"
+
+
+@query(f"SELECT doc_id, lang, language, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn FROM ({_KEPT})) WHERE rn = 1")
+def clean_corpus(spark, sf_dir):
+    """All steps but MinHash, which SQL cannot state; see clean_corpus_near."""
+    return clean.run(_docs(spark, sf_dir)).select("doc_id", "lang", "language", F.md5(_text().cast("binary")).alias("digest"))
+
+
+@query()
+def clean_corpus_near(spark, sf_dir):
+    return clean.run(_docs(spark, sf_dir), near=True).select("doc_id", "lang", "language", "pii_count", "text")
+
 
-def queries():
-    return {}
+@query(f"SELECT (SELECT count(*) FROM documents)::BIGINT AS total, (SELECT count(*) FROM ({_CLEAN}))::BIGINT AS extracted, (SELECT count(*) FROM ({_KEPT}))::BIGINT AS accepted")
+def pipeline_counts(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("text")
+    masked = clean.without_pii(docs.select(_text(), (F.length(_text()) > clean.LEAST_CHARS).alias("long"), (script_language(_text()) == "en").alias("en")))
+    return masked.agg(F.count("*").alias("total"), F.count_if("long").alias("extracted"), F.count_if(F.col("long") & F.col("en") & quality.reject_reason(_text()).isNull()).alias("accepted"))
 
 
-def oracle_sql():
-    return {}
+@query()
+def encode_stream(spark, sf_dir):
+    """Encodes the documents as a stream, all that is there at once, into a shared folder; returns what was written."""
+    import os
+    import uuid
 
+    from ..operators.minhash import _cut
+    from ..streaming import twins
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _docs(spark, sf_dir)
+    tokenizer = bpe.train(docs, VOCAB)
+    _cut(spark.range(1))  # sets a checkpoint folder where the session has none
+    base = os.path.join(spark.sparkContext.getCheckpointDir(), f"encode-stream-{uuid.uuid4().hex}")
+    source = twins.stream(spark, sf_dir, docs.schema, name="documents.parquet")
+    twins.run_once(twins.encoded(source, tokenizer), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
