@@ -385,11 +385,11 @@ def _vectors(spark, sf_dir):
 
 
 def _spread(column="y"):
-    return lambda df: df.select("vec_id", F.posexplode(column).alias("pos", "value")).select("vec_id", F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value"))
+    return lambda df: df.select("vec_id", F.posexplode(column).alias("pos", "value")).select("vec_id", F.col("pos").cast("int").alias("pos"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 def _spread_sql(inner: str, name: str = "y") -> str:
-    return f"SELECT vec_id, (unnest(range(1, len({name}) + 1)) - 1)::INT AS pos, round(unnest({name}), 6) AS value FROM ({inner})"
+    return f"SELECT vec_id, (unnest(range(1, len({name}) + 1)) - 1)::INT AS pos, round(unnest({name}), 6) + 0.0 AS value FROM ({inner})"
 
 
 def _kernel(name: str, f, sql: str) -> None:
@@ -469,7 +469,7 @@ def _attention(spark, sf_dir):
 
 @query(_ATT + f", r AS (SELECT seq, i, exp(s - top) AS e, unnest(range(0, {HEAD})) AS c, unnest(x[{2 * HEAD + 1}:{3 * HEAD}]) AS v FROM m) SELECT seq, i AS pos, c::INT AS c, round(sum(e * v) / sum(e), 6) AS value FROM r GROUP BY seq, i, c")
 def causal_attention(spark, sf_dir):
-    return _attention(spark, sf_dir).select("seq", "pos", F.posexplode("out").alias("c", "value")).select("seq", "pos", "c", F.round("value", 6).alias("value"))
+    return _attention(spark, sf_dir).select("seq", "pos", F.posexplode("out").alias("c", "value")).select("seq", "pos", "c", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query(_ATT + " SELECT seq, i AS pos, round(max(top) + ln(sum(exp(s - top))), 6) AS lse FROM m GROUP BY seq, i")
@@ -496,7 +496,7 @@ def cosine_lr(spark, sf_dir):
 
 @query("SELECT event_type, round(avg(value), 6) AS value FROM events GROUP BY event_type")
 def allreduce_mean(spark, sf_dir):
-    return distributed.allreduce_mean(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", F.round("value", 6).alias("value"))
+    return distributed.allreduce_mean(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("SELECT vec_id, (vec_id % 4)::INT AS rank FROM embeddings")
