@@ -5,7 +5,7 @@ SHELL = """<!DOCTYPE html><html><head><title>No title</title><style>p{{}}</style
 <div id="cookie-notice">We use cookies</div><div class="ad">Buy now {n}</div>
 <article><header><h1>Title &amp; {n}</h1></header><p>First <b>bold</b>
  paragraph {n}.<p>Second&nbsp;one &lt;{n}&gt; <script>var x = "</p>";</script>ends.<br>here<ul><li>item {n}</li></ul>
-<form><input value=q><button>Send</button></form><p>Read more on our site</p></article>
+<form><input value=q><button>Send</button></form><div class="more">Read more on our site</div></article>
 <aside>Side {n}</aside><section class="comments"><p>Reader says {n}</p></section><footer>&copy; {n}</footer>"""
 
 

@@ -3,9 +3,9 @@ import numpy as np
 from lexmill.llm import toxicity
 
 
-def test_labelled_documents(spark, docs, sf):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+def test_labelled_documents(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     # learn from even ids, test on odd ones
     model = toxicity.train(big, labels.filter("doc_id % 2 = 0"))
     assert [link.name for link in model.links] == ["low_quality", "toxic"]
