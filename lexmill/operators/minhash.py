@@ -7,13 +7,11 @@ duplicate; verification by exact Jaccard similarity is an option.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import cut
 
 PRIME = 2147483647
 
@@ -35,10 +33,13 @@ def shingled(docs: DataFrame, k: int, short: bool = True) -> DataFrame:
 
 
 def signatures(docs: DataFrame, num_perm: int, k: int, short: bool = True) -> DataFrame:
-    """(doc_id, sig): minima of (h a + b) mod p over 28-bit hashes of the shingles, inside the row."""
-    hashed = shingled(docs, k, short).select("doc_id", F.transform("shingles", lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 7), 16, 10).cast("long")).alias("hs"))
-    least = [F.coalesce(F.array_min(F.transform("hs", lambda h: (h * a + b) % PRIME)), F.lit(PRIME)) for a, b in coefficients(num_perm)]
-    return hashed.select("doc_id", F.array(*least).alias("sig"))
+    """(doc_id, sig): minima of (h a + b) mod p over 28-bit hashes of the shingles.
+
+    Minima are plain aggregates, so they run in generated code and are partial before the shuffle.
+    """
+    hashed = shingled(docs, k, short).select("doc_id", F.explode_outer("shingles").alias("s")).select("doc_id", F.conv(F.substring(F.md5(F.col("s").cast("binary")), 1, 7), 16, 10).cast("long").alias("h"))
+    least = [F.coalesce(F.min((F.col("h") * a + b) % PRIME), F.lit(PRIME)).alias(f"m{i}") for i, (a, b) in enumerate(coefficients(num_perm))]
+    return hashed.groupBy("doc_id").agg(*least).select("doc_id", F.array(*(f"m{i}" for i in range(num_perm))).alias("sig"))
 
 
 def banded(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -52,20 +53,13 @@ def candidates(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
     first (see `keep_first`); buckets of near copies that are larger than a cluster
     can square belong to a class-based operator.
     """
-    at = _cut(banded(sigs, bands, rows))  # read three times
+    at = cut(banded(sigs, bands, rows))  # read three times
     shared = at.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
     left = at.join(shared, ["band", "key"], "left_semi")
     right = left.withColumnRenamed("doc_id", "b")
     return left.join(right, ["band", "key"]).filter(F.col("doc_id") < F.col("b")).select(F.col("doc_id").alias("a"), "b").distinct()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lexmill-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def greedy_drop(pairs: DataFrame) -> DataFrame:
     """Ids that a scan in id order drops: those with a kept earlier neighbour.
 
@@ -73,19 +67,20 @@ def greedy_drop(pairs: DataFrame) -> DataFrame:
     is kept; one with a kept earlier neighbour is dropped. The least undecided id
     is decided each round.
     """
-    pairs = _cut(pairs)
-    state = _cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    pairs = cut(pairs)
+    state = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     while not state.filter("kept is null").isEmpty():
         earlier = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("was")), "a")
         seen = earlier.groupBy(F.col("b").alias("id")).agg(F.max(F.coalesce("was", F.lit(False))).alias("hit"), F.max(F.col("was").isNull()).alias("open"))
         fresh = F.when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = _cut(state.join(seen, "id", "left").select("id", F.coalesce("kept", fresh).alias("kept")))
+        state = cut(state.join(seen, "id", "left").select("id", F.coalesce("kept", fresh).alias("kept")))
     return state.filter("not kept").select("id")
 
 
 def keep_first(docs: DataFrame, num_perm: int, bands: int, rows: int, k: int, short: bool = True, verify: float | None = None) -> DataFrame:
     """doc_id of kept documents. Equal texts are resolved before anything is compared."""
-    firsts = docs.join(docs.groupBy(F.md5(F.col("text").cast("binary"))).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
+    ids = docs.groupBy(F.md5(F.col("text").cast("binary"))).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    firsts = cut(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
     pairs = candidates(signatures(firsts, num_perm, k, short), bands, rows)
     if verify is not None:
         sets = shingled(firsts, k, short)

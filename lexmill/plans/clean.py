@@ -10,6 +10,7 @@ from ..functions.quality import reject_reason
 from ..functions.text import html_to_text, script_language
 from ..operators.dedup import exact_dedup
 from ..operators.minhash import keep_first
+from ..session import cut
 
 STEPS = ("extract", "lang", "pii", "quality", "dedup")
 LEAST_CHARS = 100
@@ -51,5 +52,6 @@ def run(docs: DataFrame, steps: tuple[str, ...] = STEPS, near: bool = False) ->
     if "dedup" in steps:
         docs = exact_dedup(docs)
         if near:
+            docs = cut(docs)  # read by the signatures and again by the join
             docs = docs.join(keep_first(docs, 128, 9, 13, 3, short=False), "doc_id", "left_semi")
     return docs

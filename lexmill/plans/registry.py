@@ -606,13 +606,12 @@ def encode_stream(spark, sf_dir):
     import os
     import uuid
 
-    from ..operators.minhash import _cut
+    from ..session import ensure_checkpoint_dir
     from ..streaming import twins
 
     docs = _docs(spark, sf_dir)
     tokenizer = bpe.train(docs, VOCAB)
-    _cut(spark.range(1))  # sets a checkpoint folder where the session has none
-    base = os.path.join(spark.sparkContext.getCheckpointDir(), f"encode-stream-{uuid.uuid4().hex}")
+    base = os.path.join(ensure_checkpoint_dir(spark), f"encode-stream-{uuid.uuid4().hex}")
     source = twins.stream(spark, sf_dir, docs.schema, name="documents.parquet")
     twins.run_once(twins.encoded(source, tokenizer), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")
