@@ -9,9 +9,10 @@ all 256 bytes are equally likely. Statistics are frozen after training, so the
 exact cost of every (context, byte) is computed once and scoring is a lookup.
 A text gets the language that codes it in the fewest bits.
 
-Training counts every training text in full. Of the counts, `contexts` pairs
-(three bytes, successor) per language, the most frequent, become the model; this
-bounds what the driver gathers and what is broadcast.
+Training counts every training text in full. Of the counts, the most frequent
+pairs (three bytes, successor) of a language become the model, at most `contexts`
+of them and all or none of those equally frequent; this bounds what the driver
+gathers and what is broadcast.
 
 Cases: a text that is null or has no letter is `und` with score 0, as is every
 text if no language was learned; languages that code a text equally well go to
@@ -26,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import buffers, pieces
+from .common import cut, keep_rows
 
 CONTEXTS = 1 << 17
 PIECE = 1 << 20
@@ -212,8 +214,19 @@ def train(docs: DataFrame, contexts: int = CONTEXTS) -> Model:
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    rows = counted.withColumn("rank", rank).filter(F.col("rank") <= contexts).select("lang", "gram", "n").toArrow()
+    counted = cut(counted)
+    # the least count that still makes the model, from how many pairs have which count
+    often = sorted(map(tuple, counted.groupBy("lang", "n").agg(F.count("*").alias("pairs")).collect()), key=lambda r: (r[0], -r[1]))
+    least: dict[str, int] = {}
+    held: dict[str, int] = {}
+    for lang, n, pairs in often:
+        held[lang] = held.get(lang, 0) + pairs
+        if held[lang] <= contexts or lang not in least:  # a language is not lost for having rare pairs only
+            least[lang] = n
+    if not least:
+        return freeze({})
+    bounds = docs.sparkSession.createDataFrame(sorted(least.items()), "lang string, least long")
+    rows = counted.join(F.broadcast(bounds), "lang").filter(F.col("n") >= F.col("least")).select("lang", "gram", "n").toArrow()
     out = {}
     names, grams, n = np.array(rows["lang"].to_pylist(), object), rows["gram"].to_numpy(), rows["n"].to_numpy()
     for lang in set(names):
@@ -254,8 +267,6 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs without those whose language is `und`."""
-    from .common import keep_rows
-
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
     letters = "__letters"
     kept = keep_rows(docs.withColumn(letters, has_letter()), lambda b: np.array([x != "und" for x in predict(b["text"], np.asarray(b[letters].to_numpy(zero_copy_only=False), bool), shared.value)[0]], bool))
