@@ -49,7 +49,7 @@ from .common import shuffle_parts, text_key
 LENGTH, GRAM = 100, 32
 PIECE = 2 << 20  # bytes of text worked on at a time
 FLUSH = 1 << 20  # strands packed at a time
-CHUNK = 2 << 20  # bytes of one transform
+CHUNK = 192 << 10  # bytes of one transform: what the processor caches hold
 LAST = (1 << 63) - 1
 DID, TAIL, FIRST, BLOBS, COPY = "__did", "__tail", "__first", "__blobs", "__copy"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
