@@ -51,6 +51,7 @@ PIECE = 2 << 20  # bytes of text worked on at a time
 FLUSH = 1 << 20  # strands packed at a time
 CHUNK = 192 << 10  # bytes of one transform: what the processor caches hold
 LAST = (1 << 63) - 1
+LEAST_PARTS = 64
 DID, TAIL, FIRST, BLOBS, COPY = "__did", "__tail", "__first", "__blobs", "__copy"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 
@@ -424,7 +425,7 @@ def marked(docs: DataFrame) -> DataFrame:
 
     The documents are dealt by (id, tail) once; both joins read that exchange.
     """
-    parts = shuffle_parts(docs.sparkSession)
+    parts = max(LEAST_PARTS, shuffle_parts(docs.sparkSession))
     keyed = docs.withColumn(DID, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(TAIL, F.xxhash64(text_key()))
     low = F.min(F.struct(F.col(DID).alias("did"), F.col(TAIL).alias("tail"))).alias("low")
     firsts = keyed.groupBy(text_key().alias("tkey")).agg(low).select(F.col("low.did").alias(DID), F.col("low.tail").alias(TAIL), F.lit(True).alias(FIRST))
