@@ -3,10 +3,10 @@
 Each task splits its texts into units of some megabytes and their words, as the
 tokenizer's own normaliser and splitter do, and turns a unit into (a) a
 dictionary of its distinct words and (b) its documents as indices into it. The
-dictionaries are dealt by word and sorted, so that all rows of a word meet: the
-word is encoded once and its ids go back to every (unit, index) that asked. The
-ids are joined to the documents by position, and decoded by joining each id with
-its piece. A word has at most one row per unit, so no word is hot.
+dictionaries are dealt by a hash of the word, packed, so that all mentions of a
+word meet: the word is encoded once and its ids go back to every (unit, index)
+that asked. The ids are joined to the documents by position, and decoded by
+joining each id with its piece. A unit mentions a word once, so no word is hot.
 
 The units are formed twice (once for the words, once for the documents) from the
 same rows in the same order; a unit that lacks an index fails loudly.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .arrays import buffers, pieces
+from .arrays import BASE_A, BASE_B, buffers, pieces, span_hashes
 from .common import shuffle_parts
 
-UNIT_BYTES = 16 << 20
+UNIT_BYTES, PIECE = 16 << 20, 1 << 20
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -69,8 +70,138 @@ class Splitter:
         return [t.id for t in self.tokenizer.model.tokenize(word)]
 
 
-def _units(path: str, want: str):
-    """A function from rows to units: their dictionaries or their documents."""
+# ---- splitting many texts at once -------------------------------------------------
+#
+# Up to U+012F the tokenizer's rules need no tables beyond categories: such text is in
+# normal form, lower case keeps its length in bytes, and the pattern reads: a
+# contraction where a match begins at its apostrophe, else a run of letters, else one
+# digit, else a run of what is neither these nor white space. Rows with other
+# characters or with strings of special tokens take the library's own splitter.
+
+PLAIN = 0x130
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+#: The contractions of the tokenizer's pattern, without the apostrophe.
+CONTRACTIONS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(class, lower case) of the code points below PLAIN."""
+    import unicodedata
+
+    kind, low = np.full(PLAIN, _OTHER, np.uint8), np.arange(PLAIN, dtype=np.uint16)
+    for c in range(PLAIN):
+        name = unicodedata.category(chr(c))
+        kind[c] = _SPACE if c in (*range(9, 14), 32, 0x85, 0xA0) else _LETTER if name[0] == "L" else _DIGIT if name[0] == "N" else _OTHER
+        low[c] = ord(chr(c).lower())
+    return kind, low
+
+
+def plain_rows(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which rows have only characters below PLAIN and no "<|"."""
+    odd = raw > 0xC4
+    odd[:-1] |= (raw[:-1] == 0xC4) & (raw[1:] >= 0xB0) | (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+    return np.diff(np.concatenate(([0], np.cumsum(odd)))[offsets]) == 0
+
+
+def split_plain(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, starts, ends, words before each row) of rows that are plain."""
+    kinds, lows = _tables()
+    lead = raw >= 0xC2
+    at = np.flatnonzero(lead)
+    code = ((raw[at].astype(np.uint16) & 0x1F) << 6) | (raw[at + 1] & 0x3F)
+    low = np.where(raw < 0x80, lows[np.minimum(raw, 0x7F)], raw).astype(np.uint8)
+    kind = np.where(raw < 0x80, kinds[np.minimum(raw, 0x7F)], _OTHER).astype(np.uint8)
+    low[at], low[at + 1] = 0xC0 | (lows[code] >> 6), 0x80 | (lows[code] & 0x3F)
+    kind[at] = kind[at + 1] = kinds[code]
+    n = len(raw)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True  # no word crosses a row
+    head = np.ones(n, bool)  # bytes that begin a character
+    head[at + 1] = False
+    new = edge[:n].copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    new |= (kind == _DIGIT) & head
+    quote = np.flatnonzero((low == ord("'")) & new)
+    padded = np.concatenate((low, np.zeros(4, np.uint8)))
+    row_end = offsets[np.searchsorted(offsets, quote, "right")] if len(quote) else quote
+    taken = np.zeros(len(quote), np.int64)
+    for word in CONTRACTIONS:
+        fits = (taken == 0) & (quote + 1 + len(word) <= row_end)
+        for k, byte in enumerate(word):
+            fits &= padded[quote + 1 + k] == byte
+        taken[fits] = len(word)
+    short = quote[taken > 0]
+    new[short + 1] = False
+    after = short + 1 + taken[taken > 0]
+    new[after[after < n]] = True
+    word = kind != _SPACE
+    starts = np.flatnonzero(new & word)
+    stop = np.concatenate((np.flatnonzero(new), [n]))
+    ends = stop[np.searchsorted(stop, starts, "right")]
+    return low, starts, ends, np.searchsorted(starts, offsets)
+
+
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_SPELLING = [chr(b) for b in range(256)]
+for _k, _b in enumerate(_HIDDEN):
+    _SPELLING[_b] = chr(256 + _k)
+
+
+def printable(word: bytes) -> str:
+    """The tokenizer's spelling of bytes: printable Latin-1 as it is, the others from U+0100 on."""
+    if word.isalnum():  # of ASCII, for bytes
+        return word.decode("ascii")
+    return "".join([_SPELLING[b] for b in word])
+
+
+def unit_words(splitter: Splitter, column: pa.Array) -> tuple[list[str], list[np.ndarray]]:
+    """(distinct words of some rows, frequent ones first; the words of each row as indices)."""
+    raw, offsets = buffers(column)
+    plain = plain_rows(raw, offsets)
+    size = np.diff(offsets)
+    rows: list[np.ndarray | None] = [None] * len(plain)
+    names: list[str] = []
+    if plain.any():
+        some, at = raw[np.repeat(plain, size)], np.concatenate(([0], np.cumsum(size[plain])))
+        parts, text, count = [], [], []
+        for i, j in pieces(at, PIECE):
+            low, starts, ends, first = split_plain(some[at[i] : at[j]], at[i : j + 1] - at[i])
+            parts.append((span_hashes(low, starts, ends, BASE_A), span_hashes(low, starts, ends, BASE_B), starts + at[i], (ends - starts).astype(np.int32)))
+            text.append(low)
+            count.append(np.diff(first))
+        h, check, starts, length = (np.concatenate(c) for c in zip(*parts, strict=True))
+        _, seen, inverse, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        if (check != check[seen][inverse]).any() or (length != length[seen][inverse]).any():
+            raise ValueError("two words of a unit have one hash")
+        order = np.argsort(-often, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        seen, inverse = seen[order], rank[inverse]
+        whole = np.concatenate(text).tobytes()
+        names = [printable(whole[a : a + n]) for a, n in zip(starts[seen].tolist(), length[seen].tolist(), strict=True)]
+        cuts = np.concatenate(([0], np.cumsum(np.concatenate(count))))
+        for k, i in enumerate(np.flatnonzero(plain).tolist()):
+            rows[i] = inverse[cuts[k] : cuts[k + 1]]
+    if not plain.all():
+        index = {w: k for k, w in enumerate(names)}
+        for i in np.flatnonzero(~plain).tolist():
+            rows[i] = np.array([index.setdefault(w, len(index)) for w in splitter.words(column[i].as_py() or "")], np.uint32)
+        names = list(index)
+    return names, rows
+
+
+def _bytes_first(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then the second ones: that compresses."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() if len(x) else b""
+
+
+def _numbers(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel() if raw else np.zeros(0, kind)
+
+
+def _units(path: str, want: str, parts: int):
+    """A function from rows to units: their dictionaries by part of the word, or their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, number = Splitter(path), TaskContext.get().partitionId() << 32
@@ -78,33 +209,42 @@ def _units(path: str, want: str):
         for batch in batches:
             _, offsets = buffers(batch["text"])
             for i, j in pieces(offsets, UNIT_BYTES):
-                index: dict[str, int] = {}
-                rows = [[index.setdefault(w, len(index)) for w in splitter.words(t or "")] for t in batch["text"].slice(i, j - i).to_pylist()]
+                words, rows = unit_words(splitter, batch["text"].slice(i, j - i))
                 if want == "words":
-                    words = list(index)
-                    for s in range(0, len(words), 50_000):
-                        some = words[s : s + 50_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([number] * len(some), pa.int64()), pa.array(range(s, s + len(some)), pa.int32()), pa.array(some, pa.string())], names=["unit", "at", "word"])
+                    part = np.array([zlib.crc32(w.encode()) % parts for w in words], np.int64)
+                    order = np.argsort(part, kind="stable")
+                    edges = np.searchsorted(part[order], np.arange(parts + 1))
+                    some = np.flatnonzero(np.diff(edges))
+                    found = [order[edges[p] : edges[p + 1]] for p in some]
+                    blobs = [squeeze.compress(_bytes_first(k.astype(np.uint32))) for k in found]
+                    texts = [squeeze.compress("\n".join([words[x] for x in k.tolist()]).encode()) for k in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), number)), pa.array([len(k) for k in found], pa.int32()), pa.array(blobs, pa.binary()), pa.array(texts, pa.binary())], names=["part", "unit", "n", "at", "words"])
                 else:
-                    packed = [squeeze.compress(np.array(r, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()) for r in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(packed), pa.int64()), batch["doc_id"].slice(i, j - i).cast(pa.int64()), pa.array([len(r) for r in rows], pa.int32()), pa.array(packed, pa.binary())], names=["unit", "doc_id", "n", "packed"])
+                    packed = [squeeze.compress(_bytes_first(r)) for r in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), number)), batch["doc_id"].slice(i, j - i).cast(pa.int64()), pa.array([len(r) for r in rows], pa.int32()), pa.array(packed, pa.binary())], names=["unit", "doc_id", "n", "packed"])
                 number += 1
 
     return run
 
 
 def _encode(path: str):
-    """A function that gives sorted words their ids; equal neighbours are encoded once."""
+    """A function that gives the words of a task's parts their ids; each distinct word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, last, ids = Splitter(path), None, b""
+        splitter, known = Splitter(path), {}
+        squeeze, expand = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for word in batch["word"].to_pylist():
-                if word != last:
-                    last, ids = word, np.array(splitter.encode(word), np.int32).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch["unit"], batch["at"], pa.array(out, pa.binary())], names=["unit", "at", "ids"])
+            for packed in batch["words"].to_pylist():
+                count, ids = [], []
+                for word in expand.decompress(packed).decode().split("\n"):
+                    got = known.get(word)
+                    if got is None:
+                        got = known[word] = splitter.encode(word)
+                    count.append(len(got))
+                    ids += got
+                out.append((squeeze.compress(_bytes_first(np.array(count, np.uint32))), squeeze.compress(_bytes_first(np.array(ids, np.uint32)))))
+            yield pa.RecordBatch.from_arrays([batch["unit"], batch["n"], batch["at"], pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["unit", "n", "at", "counts", "ids"])
 
     return run
 
@@ -114,30 +254,30 @@ def tokens(docs: DataFrame, path: str | None = None, digest: bool = True) -> Dat
     path = path or tokenizer_path()
     source = docs.select("doc_id", "text")
     parts = shuffle_parts(docs.sparkSession)
-    encoded = (
-        source.mapInArrow(_units(path, "words"), "unit long, at int, word string")
-        .repartition(parts, "word")
-        .sortWithinPartitions("word")
-        .mapInArrow(_encode(path), "unit long, at int, ids binary")
-    )
-    rows = source.mapInArrow(_units(path, "documents"), "unit long, doc_id long, n int, packed binary")
+    encoded = source.mapInArrow(_units(path, "words", parts), "part int, unit long, n int, at binary, words binary").repartition(parts, "part").mapInArrow(_encode(path), "unit long, n int, at binary, counts binary, ids binary")
+    rows = source.mapInArrow(_units(path, "documents", parts), "unit long, doc_id long, n int, packed binary")
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         splitter, expand = Splitter(path), zstandard.ZstdDecompressor()
-        piece = {}
-        at, ids = right["at"].to_numpy(), right["ids"].to_pylist()
-        numbers: list[str | None] = [None] * len(at)
-        text: list[str | None] = [None] * len(at)
-        count = np.zeros(len(at), np.int64)
-        for k, raw in zip(at, ids, strict=True):
-            own = np.frombuffer(raw, np.int32).tolist()
-            for i in own:
+        piece: dict[int, str] = {}
+        total = sum(right["n"].to_pylist())
+        numbers: list[str | None] = [None] * total
+        text: list[str | None] = [None] * total
+        count = np.zeros(total, np.int64)
+        for packed in zip(*(right[c].to_pylist() for c in ("at", "counts", "ids")), strict=True):
+            at, sizes, ids = (_numbers(expand.decompress(x), np.uint32) for x in packed)
+            for i in np.unique(ids).tolist():
                 if i not in piece:
                     piece[i] = splitter.tokenizer.id_to_token(i)
-            numbers[k], text[k], count[k] = " ".join(map(str, own)), " ".join([piece[i] for i in own]), len(own)
+            count[at] = sizes
+            ids, end = ids.tolist(), 0
+            for k, n in zip(at.tolist(), sizes.tolist(), strict=True):
+                own = ids[end : end + n]
+                end += n
+                numbers[k], text[k] = " ".join(map(str, own)), " ".join([piece[i] for i in own])
         n_tokens, first, second = [], [], []
-        for n, packed in zip(left["n"].to_pylist(), left["packed"].to_pylist(), strict=True):
-            index = np.frombuffer(expand.decompress(packed, max_output_size=4 * n + 1), np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel() if n else np.zeros(0, np.uint32)
+        for packed in left["packed"].to_pylist():
+            index = _numbers(expand.decompress(packed), np.uint32)
             order = index.tolist()
             n_tokens.append(int(count[index].sum()))
             first.append(" ".join([numbers[k] for k in order if count[k]]))
