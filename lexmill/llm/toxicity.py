@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .arrays import BASE_B, MIX_1, U64, buffers, mix, pieces, span_hashes, words
 
 BITS = 18
-MAX_ROWS, FOLDS, FEATURES, LEAST_ROWS = 8000, 5, 1500, 4
+MAX_ROWS, FOLDS, FEATURES, LEAST_ROWS = 8000, 5, 1000, 4
 PIECE = 4 << 20
 #: Chain order: (name, SQL over the label table). Junk comes first: its probability helps to read the rest.
 CHAIN = [("low_quality", "1 - quality"), ("toxic", "toxic")]
@@ -49,16 +49,32 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(np.concatenate((one[a:b], two[a : max(a, b - 1)])))
 
 
-def fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
+@dataclass
+class Sparse:
+    """Rows with a 1 in some columns, and dense columns beside them."""
+
+    row: np.ndarray
+    column: np.ndarray
+    n: int
+    p: int
+    extra: np.ndarray
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], self.n) + self.extra @ w[self.p :]
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.bincount(self.column, g[self.row], self.p), self.extra.T @ g))
+
+
+def fit(x: Sparse, y: np.ndarray, l2: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient descent; (weights, bias)."""
-    x = x.astype(np.float32)
-    n, p = x.shape
-    w, b = np.zeros(p, np.float32), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
-    v, vb, lip = w.copy(), b, 0.25 * (np.square(x).sum(axis=1).max(initial=1.0) + 1)
-    step, t = 1 / (lip * 0.25 + l2 / n), 1.0
+    n = x.n
+    w, b = np.zeros(x.p + x.extra.shape[1]), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    widest = (np.bincount(x.row, minlength=n) + np.square(x.extra).sum(axis=1)).max(initial=1.0)
+    v, vb, step, t = w.copy(), b, 1 / (0.0625 * (widest + 1) + l2 / n), 1.0
     for _ in range(rounds):
-        g = 1 / (1 + np.exp(-np.clip(x @ v + vb, -30, 30))) - y
-        w_new, b_new = v - step * (x.T @ g / n + l2 / n * v), vb - step * float(g.mean())
+        g = 1 / (1 + np.exp(-np.clip(x.times(v) + vb, -30, 30))) - y
+        w_new, b_new = v - step * (x.transposed_times(g) / n + l2 / n * v), vb - step * float(g.mean())
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = w_new + (t - 1) / t_new * (w_new - w), b_new + (t - 1) / t_new * (b_new - b)
         w, b, t = w_new, b_new, t_new
@@ -102,14 +118,12 @@ def choose(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.sort(best[z[best] > 2])
 
 
-def matrix(rows: list[np.ndarray], columns: np.ndarray, extra: np.ndarray) -> np.ndarray:
+def matrix(rows: list[np.ndarray], columns: np.ndarray, extra: np.ndarray) -> Sparse:
     place = np.full(1 << BITS, -1, np.int64)
     place[columns] = np.arange(len(columns))
-    x = np.zeros((len(rows), len(columns)), np.float32)
-    for i, r in enumerate(rows):
-        at = place[r]
-        x[i, at[at >= 0]] = 1
-    return np.concatenate((x, extra.astype(np.float32)), axis=1)
+    at = place[np.concatenate(rows)]
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    return Sparse(row[at >= 0], at[at >= 0], len(rows), len(columns), extra.astype(np.float64))
 
 
 def train_chain(rows: list[np.ndarray], labels: np.ndarray, names: list[str]) -> Chain:
@@ -128,7 +142,7 @@ def train_chain(rows: list[np.ndarray], labels: np.ndarray, names: list[str]) ->
             learn, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
             columns = choose([rows[i] for i in learn], y[learn])
             w, b = fit(matrix([rows[i] for i in learn], columns, earlier[learn]), y[learn])
-            z = matrix([rows[i] for i in test], columns, earlier[test]) @ w + b
+            z = matrix([rows[i] for i in test], columns, earlier[test]).times(w) + b
             guess[test] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         columns = choose(rows, y)
         w, b = fit(matrix(rows, columns, earlier), y)
@@ -137,7 +151,7 @@ def train_chain(rows: list[np.ndarray], labels: np.ndarray, names: list[str]) ->
         f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
         at = int(f1.argmax())
         below = guess[order[at + 1]] if at + 1 < len(y) else 0.0
-        chain.links.append(Link(name, columns, w.astype(np.float64), float(b), float((guess[order[at]] + below) / 2)))
+        chain.links.append(Link(name, columns, w, float(b), float((guess[order[at]] + below) / 2)))
         earlier = np.concatenate((earlier, guess[:, None]), axis=1)
     return chain
 
