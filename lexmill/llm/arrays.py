@@ -57,20 +57,24 @@ def pieces(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+KEPT_POWERS = (2 << 20) + 1  # entries that a worker keeps; longer tables are made for the one text that needs them
+
+
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64 for i below n."""
     have = _powers.get(int(base))
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)
-        size = 1 << (size - 1).bit_length()
         inverse = U64(pow(int(base), -1, 1 << 64))
         out = []
         with np.errstate(over="ignore"):
             for b in (base, inverse):
                 p = np.full(size, b, U64)
                 p[0] = 1
-                out.append(np.multiply.accumulate(p))
-        have = _powers[int(base)] = (out[0], out[1])
+                out.append(np.multiply.accumulate(p, out=p))
+        have = out[0], out[1]
+        if size <= KEPT_POWERS:
+            _powers[int(base)] = have
     return have[0][:n], have[1][:n]
 
 

@@ -32,7 +32,7 @@ from .common import keep_rows
 
 WINDOW, MIN_ITEMS = 8, 2
 LONG_MATCH = 13  # words in a row that are no accident
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
 
 

@@ -30,7 +30,7 @@ from .arrays import BASE_B, MIX_1, U64, buffers, mix, pieces, span_hashes, words
 
 BITS = 18
 MAX_ROWS, FOLDS, FEATURES, LEAST_ROWS = 8000, 5, 1000, 4
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Chain order: (name, SQL over the label table). Junk comes first: its probability helps to read the rest.
 CHAIN = [("low_quality", "1 - quality"), ("toxic", "toxic")]
 
