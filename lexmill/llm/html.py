@@ -14,12 +14,18 @@ at its parent); a node's importance combines both as in the published method,
 (1 - d) * presentation + d * content with damping d. Nodes below the threshold
 are cut from each page. A node seen on fewer than `least` pages is left alone.
 
+Pages count once for each distinct main text of a host (what roles leave, see
+below), so copies are no evidence. Where the distinct pages of a host share most
+of their text, importance cuts nothing: they are near copies, not articles in one
+frame. A heading or label goes only with all that it heads.
+
 Entropy needs many pages of a host, and adverts that rotate are as varied as
 articles. Branches whose element names their role (navigation, header, footer,
 aside, form, advert, comment ...) are therefore cut in any case; and if a page
 marks its main part (article, main), text outside it is cut.
 
-Only (host, chain, hash of text) go through a shuffle, summed before it; the
+Hashes of chains and texts go through the shuffle, once a distinct main text,
+then summed; a host's nodes, not its pages or rare texts, are judged in one task. The
 cut chains of a host come back to its pages by a join on the host and a salt, so
 a host with a third of all pages is spread.
 
@@ -32,8 +38,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +48,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DAMPING, THRESHOLD, LEAST = 0.9, 0.3, 8
+#: A text on this share of a node's pages is repeated; a host is judged if at least these shares of its text are not, inside a marked main part and on unmarked pages.
+MOST, OWN_MARKED, OWN = 0.8, 0.25, 0.1
+TEXT, STYLE, EDGE = 1, 2, 3
 SALTS = 64
 RESULT = "page_id long, url string, text string, n_chars long, n_blocks_cut long"
 
@@ -52,6 +61,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
 ROLE_TAGS = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "fieldset", "datalist", "input"}
 ROLE_NAMES = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "widget", "ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "search", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "reply", "replies", "respond", "pagination", "pager", "copyright", "legal", "toolbar", "skip"}
 ROLE_ARIA = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
+HEADS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6} | dict.fromkeys(("dt", "th", "caption", "legend", "summary"), 7)
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A block element ends an open paragraph; these bound how far an implied end reaches.
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "p": {"article", "section", "div", "td", "th", "li", "blockquote", "main", "body", "button"}, "option": {"select"}}
@@ -173,66 +183,176 @@ def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, feature, pages): feature 0 counts the node's pages; others hash a text or, negated in `kind`, a style."""
-    seen: Counter = Counter()
+def _key(chain: str, marked: bool) -> int:
+    """A style node's key; pages that mark their main part and pages that do not have a tree each."""
+    return _hash(f"{int(marked)}{chain}")
+
+
+def _candidates(page: str) -> tuple[bool, list[tuple[str, str, bool, bool]], int]:
+    """Whether the page marks its main part, the blocks that roles leave, and the number of all blocks."""
+    found = blocks(page)
+    marked = any(main for _, _, off, main in found if not off)
+    return marked, [b for b in found if not b[2] and (b[3] or not marked)], len(found)
+
+
+FEATURE = pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64()), ("weight", pa.float32())])
+PAGE = "host string, marked boolean, main long, page long, features array<struct<node:long,kind:int,feature:long,weight:float>>"
+
+
+def _page_features(left: list[tuple[str, str, bool, bool]], marked: bool) -> list[dict]:
+    """Distinct features of a page's tree: TEXT of a node (weight: its length, 0 for headings), STYLE and EDGE of an inner node.
+
+    A style is the sequence of a node's children, its own text standing as the node itself; an edge's weight is
+    the child's share of the style.
+    """
+    out: dict[tuple[int, int, int], float] = {}
+    styles: dict[str, list[str]] = {}
+    for chain, text, *_ in left:
+        out[_key(chain, marked), TEXT, _hash(text)] = 0.0 if _head(chain) else float(len(text))
+        child = chain
+        styles.setdefault(chain, [])
+        if not styles[chain] or styles[chain][-1] != chain:
+            styles[chain].append(chain)
+        while child:
+            parent = child.rpartition("/")[0]
+            tags = styles.setdefault(parent, [])
+            if tags and tags[-1] == child:
+                break
+            tags.append(child)
+            child = parent
+    for parent, tags in styles.items():
+        if tags == [parent]:
+            continue
+        node = _key(parent, marked)
+        out[node, STYLE, _hash(" ".join(tags))] = 0.0
+        for child in tags:
+            at = (node, EDGE, _key(child, marked))
+            out[at] = out.get(at, 0.0) + 1 / len(tags)
+    return [{"node": n, "kind": k, "feature": f, "weight": w} for (n, k, f), w in out.items()]
 
-    def out() -> pa.RecordBatch:
-        rows = list(seen.items())
-        seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([k[2] for k, _ in rows], pa.int32()), pa.array([k[3] for k, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], names=["host", "node", "kind", "feature", "pages"])
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host, hash of the main text, hash of the page and features of each page; copies in a row of batches only once."""
+    seen: set = set()
     for batch in batches:
+        rows = []
         for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            found = blocks(page or "")
-            styles: dict[str, list[str]] = {}
-            mine = set()
-            for chain, text, *_ in found:
-                mine.add((host, _hash(chain), 1, _hash(text)))
-                mine.add((host, _hash(chain), 0, 0))
-                parent, _, name = chain.rpartition("/")
-                tags = styles.setdefault(parent, [])
-                if not tags or tags[-1] != name:
-                    tags.append(name)
-            for parent, tags in styles.items():
-                style = _hash(" ".join(tags))
-                mine |= {(host, _hash(f"{parent}/{name}"), 2, style) for name in set(tags)}
-            seen.update(mine)
+            copy = (host, _hash(page or ""))
+            if copy in seen:
+                continue
             if len(seen) > 200_000:
-                yield out()
-    if seen:
-        yield out()
-
-
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of all style nodes."""
-    counted = pages.select(host_of().alias("host"), "html").mapInArrow(_features, "host string, node long, kind int, feature long, pages long").groupBy("host", "node", "kind", "feature").agg(F.sum("pages").alias("k"))
+                seen.clear()
+            seen.add(copy)
+            marked, left, _ = _candidates(page or "")
+            if left:
+                rows.append((host, marked, _hash("\n\n".join(b[1] for b in left)), copy[1], _page_features(left, marked)))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        types = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(FEATURE))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "marked", "main", "page", "features"])
+
+
+def style_tree(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """(host, marked, node, kind, feature, k, n, weight, ln): the counts over distinct pages that a host is judged by.
+
+    Pages of a host with one main text count once. Texts are named while they may
+    stand on most pages of a node; the others of a node, and its styles, are summed (feature 0).
+    """
+    once = pages.select(host_of().alias("host"), "html").mapInArrow(_features, PAGE).groupBy("host", "marked", "main").agg(F.min_by("features", "page").alias("features"))
+    one = once.select("host", "marked", F.explode("features").alias("f")).select("host", "marked", "f.*")
+    counted = one.groupBy("host", "marked", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("weight").cast("double")).alias("weight"))
     k = F.col("k").cast("double")
-    sums = counted.groupBy("host", "node").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("k"))).alias("pages"),
-        F.avg(F.when(F.col("kind") == 1, F.ln(k))).alias("ln_text"),
-        F.sum(F.when(F.col("kind") == 2, k)).alias("n"),
-        F.sum(F.when(F.col("kind") == 2, k * F.ln(k))).alias("n_ln_n"),
-    )
-    ln_m = F.ln(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
-    content = 1 - F.col("ln_text") / ln_m
-    presentation = F.coalesce(F.least(F.lit(1.0), (F.ln("n") - F.col("n_ln_n") / F.col("n")) / ln_m), F.lit(0.0))
-    return sums.select("host", "node", "pages", ((1 - DAMPING) * presentation + DAMPING * content).alias("importance"))
+    ln = F.when(F.col("kind") == STYLE, k * F.ln(k)).otherwise(F.ln(k))
+    named = F.when((F.col("kind") == EDGE) | ((F.col("kind") == TEXT) & (F.col("k") >= MOST * least)), F.col("feature")).otherwise(F.lit(0).cast("long"))
+    return counted.groupBy("host", "marked", "node", "kind", named.alias("feature")).agg(F.sum("k").alias("k"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.sum(ln).alias("ln"))
+
+
+def _nodes(table: pa.Table) -> tuple[dict, dict, dict, dict]:
+    """Texts {node: [(hash, k, length of all, number, sum of ln k)]}, styles {node: (pages, number, sum of k ln k)}, edges {parent: {child: weight}}, pages {node: pages}."""
+    texts, styles, edges, pages = {}, {}, {}, {}
+    for node, kind, feature, k, n, weight, ln in sorted(zip(*(table[c].to_pylist() for c in ("node", "kind", "feature", "k", "n", "weight", "ln")), strict=True)):
+        if kind == TEXT:
+            texts.setdefault(node, []).append((feature, k, weight, n, ln))
+        elif kind == STYLE:
+            styles[node] = (k, n, ln)
+            pages[node] = max(k, pages.get(node, 0))
+        else:
+            edges.setdefault(node, {})[feature] = weight
+            pages[feature] = max(k, pages.get(feature, 0))
+    return texts, styles, edges, pages
+
+
+def _entropy(n: int, n_ln_n: float, base: int) -> float:
+    """Entropy, base `base`, of counts with the sum n and the sum of n ln n."""
+    return 1.0 if base < 2 else min(1.0, (log(n) - n_ln_n / n) / log(base))
+
+
+def _content(texts: list, pages: int) -> float:
+    return 1.0 if pages < 2 else 1 - sum(t[4] for t in texts) / sum(t[3] for t in texts) / log(pages)
+
+
+def _evidence(texts: dict, pages: dict, marked: bool, least: int) -> bool:
+    """Whether the pages differ by enough of their text for what they share to be judged."""
+    whole = often = 0.0
+    for node, ts in texts.items():
+        for feature, k, weight, *_ in ts:
+            whole += weight
+            often += weight if feature and pages[node] >= least and k >= MOST * pages[node] else 0.0
+    return whole > 0 and whole - often >= (OWN_MARKED if marked else OWN) * whole
+
+
+def _judge(threshold: float, least: int):
+    def run(table: pa.Table) -> pa.Table:
+        host, marked = table["host"][0].as_py(), table["marked"][0].as_py()
+        texts, styles, edges, pages = _nodes(table)
+        cut: list[int] = []
+        if _evidence(texts, pages, marked, least):
+            parents = {child: node for node, cs in edges.items() for child in cs if child != node}
+            for node, ts in texts.items():
+                n, _, n_ln_n = styles.get(parents.get(node), (1, 1, 0.0))
+                presentation = max(0.0, _entropy(n, n_ln_n, max(pages[node], 2)))
+                if pages[node] >= least and (1 - DAMPING) * presentation + DAMPING * _content(ts, pages[node]) < threshold:
+                    cut.append(node)
+        return pa.table({"host": pa.array([host], pa.string()), "cut": pa.array([sorted(cut)], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _head(chain: str) -> int:
+    """The level of a heading or label (the least of all is 7), 0 for other blocks."""
+    return HEADS.get(chain.rpartition("/")[2].split(".")[0], 0)
+
+
+def _keep(left: list[tuple[str, str, bool, bool]], marked: bool, cut: set[int]) -> list[str]:
+    """The texts that stay: what is not cut, and headings of what stays (on unmarked pages, within their parent)."""
+    stay = [_key(chain, marked) not in cut for chain, *_ in left]
+    for i in range(len(left) - 1, -1, -1):
+        level = _head(left[i][0])
+        if stay[i] or not level:
+            continue
+        parent = left[i][0].rpartition("/")[0] + "/"
+        for j in range(i + 1, len(left)):
+            other = _head(left[j][0])
+            if 0 < other <= level or not (marked or left[j][0].startswith(parent)):
+                break
+            if stay[j]:
+                stay[i] = True
+                break
+    return [b[1] for b, s in zip(left, stay, strict=True) if s]
 
 
 def extract_main_text(pages: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks_cut of every page."""
-    low = style_tree(pages).filter((F.col("importance") < threshold) & (F.col("pages") >= least)).groupBy("host").agg(F.collect_list("node").alias("cut"))
+    judged = style_tree(pages, least).groupBy("host", "marked").applyInArrow(_judge(threshold, least), "host string, cut array<long>")
+    low = judged.filter(F.size("cut") > 0).groupBy("host").agg(F.flatten(F.collect_list("cut")).alias("cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone = [], []
             for page, cut in zip(batch["html"].to_pylist(), batch["cut"].to_pylist(), strict=True):
-                found, cut = blocks(page or ""), set(cut or ())
-                marked = any(main for _, _, off, main in found if not off)
-                kept = [text for chain, text, off, main in found if not off and (main or not marked) and _hash(chain) not in cut]
+                marked, left, number = _candidates(page or "")
+                kept = _keep(left, marked, set(cut or ()))
                 texts.append("\n\n".join(kept))
-                gone.append(len(found) - len(kept))
+                gone.append(number - len(kept))
             yield pa.RecordBatch.from_arrays([batch["page_id"].cast(pa.int64()), batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(np.array(gone, np.int64))], names=[c.split()[0] for c in RESULT.split(", ")])
 
     # pages of a host are spread over SALTS tasks; what is cut on a host is small and goes to each of them

@@ -28,3 +28,29 @@ def test_broken_markup():
     assert [b[1] for b in blocks("<p>a<p>b</div></p>c<!-- x --><td>d<![CDATA[e]]>")] == ["a", "b", "c", "de"]
     assert [b[1] for b in blocks("x < y and <unclosed")][0].startswith("x < y and")
     assert blocks("<script>never closed") == []
+
+
+def table(spark, pages, host="a.example"):
+    return spark.createDataFrame([(i, f"https://{host}/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+
+
+def texts(df):
+    return [r.text for r in extract_main_text(df).orderBy("page_id").collect()]
+
+
+def test_copies_on_a_host_keep_their_text(spark):
+    assert texts(table(spark, [SHELL.format(n=1)] * 12)) == texts(table(spark, [SHELL.format(n=1)])) * 12
+    two = [f"<article><h1>{t}</h1><p>{t} one<p>{t} two</article>" for t in ("Ann", "Bob")] * 20
+    assert set(texts(table(spark, two))) == {"Ann\n\nAnn one\n\nAnn two", "Bob\n\nBob one\n\nBob two"}
+    # equal main texts in differing frames are copies, too; so are pages that differ by a counter
+    framed = [f"<nav>{i}</nav><article><p>one text<p>of two parts</article><footer>{i}</footer>" for i in range(12)]
+    assert set(texts(table(spark, framed))) == {"one text\n\nof two parts"}
+    counted = [f"<article><p>one text of a few words<p>and of two parts<span class=n>, read {i} times</span><p>{i}</article>" for i in range(12)]
+    assert all(t.startswith("one text of a few words\n\n") for t in texts(table(spark, counted)))
+    bare = ["<div><h1>Title</h1><p>a page without marks</div>"] * 12
+    assert set(texts(table(spark, bare))) == {"Title\n\na page without marks"}
+
+
+def test_recurring_headings_stay_with_their_text(spark):
+    pages = [f"<article><h1>Soup {i}</h1><h2>Ingredients</h2><p>{i} onions<h2>References</h2><p>book {i}<h2>More</h2><div class=more>Read on</div></article>" for i in range(12)]
+    assert texts(table(spark, pages))[3] == "Soup 3\n\nIngredients\n\n3 onions\n\nReferences\n\nbook 3"
