@@ -1,18 +1,26 @@
 """Main-text extraction with site style trees.
 
 A page is parsed into blocks: runs of text under one chain of elements (tags
-with class and id; inline markup and list positions do not count). All pages of
-a host are merged into one style tree whose nodes are those chains. For a node
-that m pages of the host have, the content importance is
+with class; inline markup and list positions do not count). All pages of
+a host are merged into a style tree whose nodes are those chains (one tree for
+pages that mark their main part, one for the others). An inner node has styles,
+the sequences of children it shows on a page. The content importance of a node
+with text that m pages of the host have is
 
     1 - average over its distinct texts of (ln k / ln m)
 
 with k the number of pages that have the text: 0 if every text stands on every
-page, 1 if each stands on one page. A node's presentation importance is the
-entropy, base m, of the styles its siblings take (the tag sequences of the pages
-at its parent); a node's importance combines both as in the published method,
-(1 - d) * presentation + d * content with damping d. Nodes below the threshold
-are cut from each page. A node seen on fewer than `least` pages is left alone.
+page, 1 if each stands on one page. The composite importance of an inner node is
+
+    (1 - d^l) * presentation + d^l * average over styles and their children
+
+with presentation the entropy, base m, of its l styles, d the damping and the
+children's composite importance, from the leaves up; own text counts as a child.
+An element is one node in all styles of its parent, so that evidence is not split.
+A branch is noise if it and all nodes in it are below the threshold; such branches
+are cut from each page, whole. Only a branch that `least` pages have is judged. In a
+node that stays, a text that MOST of its pages have is cut (a notice among the
+paragraphs), except for entries of lists and tables in a marked main part.
 
 Pages count once for each distinct main text of a host (what roles leave, see
 below), so copies are no evidence. Where the distinct pages of a host share most
@@ -48,8 +56,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DAMPING, THRESHOLD, LEAST = 0.9, 0.3, 8
-#: A text on this share of a node's pages is repeated; a host is judged if at least these shares of its text are not, inside a marked main part and on unmarked pages.
-MOST, OWN_MARKED, OWN = 0.8, 0.25, 0.1
+#: A text on this share of a node's pages is repeated; a host is judged if at least these shares of its text are not, inside a marked main part and on unmarked pages, the last for texts among the paragraphs of a main part, which have only their repetition against them.
+MOST, OWN_MARKED, OWN, OWN_AMONG = 0.8, 0.25, 0.1, 0.6
 TEXT, STYLE, EDGE = 1, 2, 3
 SALTS = 64
 RESULT = "page_id long, url string, text string, n_chars long, n_blocks_cut long"
@@ -188,6 +196,10 @@ def _key(chain: str, marked: bool) -> int:
     return _hash(f"{int(marked)}{chain}")
 
 
+def _text_key(node: int, text: int) -> int:
+    return _hash(f"{node} {text}")
+
+
 def _candidates(page: str) -> tuple[bool, list[tuple[str, str, bool, bool]], int]:
     """Whether the page marks its main part, the blocks that roles leave, and the number of all blocks."""
     found = blocks(page)
@@ -290,14 +302,45 @@ def _content(texts: list, pages: int) -> float:
     return 1.0 if pages < 2 else 1 - sum(t[4] for t in texts) / sum(t[3] for t in texts) / log(pages)
 
 
-def _evidence(texts: dict, pages: dict, marked: bool, least: int) -> bool:
-    """Whether the pages differ by enough of their text for what they share to be judged."""
+def _own(texts: dict, pages: dict, least: int) -> float:
+    """Share of the text, without headings, that pages do not have in common."""
     whole = often = 0.0
     for node, ts in texts.items():
         for feature, k, weight, *_ in ts:
             whole += weight
             often += weight if feature and pages[node] >= least and k >= MOST * pages[node] else 0.0
-    return whole > 0 and whole - often >= (OWN_MARKED if marked else OWN) * whole
+    return (whole - often) / whole if whole else 0.0
+
+
+def _cut(root: int, texts: dict, styles: dict, edges: dict, pages: dict, threshold: float, least: int, among: bool) -> list[int]:
+    """Keys of the nodes, and if `among` of the texts in other nodes, that are cut."""
+    order = [root]
+    for node in order:
+        order += [child for child in edges.get(node, ()) if child != node]
+    content = {node: _content(ts, pages[node]) for node, ts in texts.items()}
+    worth: dict[int, float] = {}
+    noisy: dict[int, bool] = {}
+    for node in reversed(order):
+        own, children = content.get(node), edges.get(node, {})
+        worth[node] = 1.0 if own is None else own
+        if children:
+            m, (n, number, n_ln_n) = pages[node], styles[node]
+            # pages on which the node has text only show one more style, the text itself
+            alone = m - n
+            number, n_ln_n = number + (alone > 0), n_ln_n + (alone * log(alone) if alone else 0.0)
+            inside = sum(w * (worth[child] if child != node else own) for child, w in children.items()) + (alone * own if alone else 0.0)
+            worth[node] = (1 - DAMPING**number) * max(0.0, _entropy(m, n_ln_n, m)) + DAMPING**number * inside / m
+        noisy[node] = worth[node] < threshold and (own is None or own < threshold) and all(noisy[child] for child in children if child != node)
+    cut: list[int] = []
+    inside_cut: set[int] = set()
+    for node in order:
+        judged = pages[node] >= least
+        if node in inside_cut or (judged and noisy[node]):
+            inside_cut.update(edges.get(node, ()))
+            cut += [node] if node in texts else []
+        elif judged and node in texts:
+            cut += [node] if content[node] < threshold else [_text_key(node, t[0]) for t in texts[node] if among and t[0] and t[1] >= MOST * pages[node]]
+    return cut
 
 
 def _judge(threshold: float, least: int):
@@ -305,13 +348,9 @@ def _judge(threshold: float, least: int):
         host, marked = table["host"][0].as_py(), table["marked"][0].as_py()
         texts, styles, edges, pages = _nodes(table)
         cut: list[int] = []
-        if _evidence(texts, pages, marked, least):
-            parents = {child: node for node, cs in edges.items() for child in cs if child != node}
-            for node, ts in texts.items():
-                n, _, n_ln_n = styles.get(parents.get(node), (1, 1, 0.0))
-                presentation = max(0.0, _entropy(n, n_ln_n, max(pages[node], 2)))
-                if pages[node] >= least and (1 - DAMPING) * presentation + DAMPING * _content(ts, pages[node]) < threshold:
-                    cut.append(node)
+        own = _own(texts, pages, least)
+        if own >= (OWN_MARKED if marked else OWN):
+            cut = _cut(_key("", marked), texts, styles, edges, pages, threshold, least, not marked or own >= OWN_AMONG)
         return pa.table({"host": pa.array([host], pa.string()), "cut": pa.array([sorted(cut)], pa.list_(pa.int64()))})
 
     return run
@@ -324,7 +363,12 @@ def _head(chain: str) -> int:
 
 def _keep(left: list[tuple[str, str, bool, bool]], marked: bool, cut: set[int]) -> list[str]:
     """The texts that stay: what is not cut, and headings of what stays (on unmarked pages, within their parent)."""
-    stay = [_key(chain, marked) not in cut for chain, *_ in left]
+    stay = []
+    for chain, text, *_ in left:
+        node = _key(chain, marked)
+        # an entry of a list or table in a main part is data however often it recurs
+        entry = marked and chain.rpartition("/")[2].split(".")[0] in ("li", "td", "dd")
+        stay.append(node not in cut and (entry or _text_key(node, _hash(text)) not in cut))
     for i in range(len(left) - 1, -1, -1):
         level = _head(left[i][0])
         if stay[i] or not level:

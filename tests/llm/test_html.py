@@ -54,3 +54,18 @@ def test_copies_on_a_host_keep_their_text(spark):
 def test_recurring_headings_stay_with_their_text(spark):
     pages = [f"<article><h1>Soup {i}</h1><h2>Ingredients</h2><p>{i} onions<h2>References</h2><p>book {i}<h2>More</h2><div class=more>Read on</div></article>" for i in range(12)]
     assert texts(table(spark, pages))[3] == "Soup 3\n\nIngredients\n\n3 onions\n\nReferences\n\nbook 3"
+
+
+def test_a_notice_among_the_paragraphs_is_cut(spark):
+    own = lambda i: [f"paragraph {j} of page {i}" for j in range(10)]
+    pages = ["<article><p>" + "<p>".join(own(i)[:5] + ["All our texts may be ordered in print."] + own(i)[5:]) + "</article>" for i in range(30)]
+    assert texts(table(spark, pages)) == ["\n\n".join(own(i)) for i in range(30)]
+
+
+def test_a_branch_is_cut_whole(spark):
+    page = lambda i, more: f"<div class=box><p>Join us</p>{more}</div><div class=body><p>own text {i}</p></div>"
+    rare = [page(i, "<p class=x>Only today</p>" if i < 3 else "") for i in range(12)]
+    assert texts(table(spark, rare)) == [f"own text {i}" for i in range(12)]
+    # a text of one page's own stays, and what few pages have is not judged alone
+    owned = [page(i, "<p class=y>Not seen before</p>" if i == 0 else "") for i in range(12)]
+    assert texts(table(spark, owned)) == ["Not seen before\n\nown text 0"] + [f"own text {i}" for i in range(1, 12)]
