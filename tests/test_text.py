@@ -50,7 +50,7 @@ def test_malformed_bytes_are_dropped(spark):
     assert df.select(text.decode_utf8(F.col("b"))).first()[0] == "abcé"
 
 
-@pytest.mark.parametrize(("value", "kept"), [("word " * 49, False), ("word " * 50, True), ("ab " * 60, False), ("wordwordword " * 60, False), ("word# " * 60, False), ("word " * 60 + "•" * 55, True), ("long word ... " * 40, True), ("long... " * 60, False), ("", False)])
+@pytest.mark.parametrize(("value", "kept"), [("word " * 49, False), ("word " * 50, True), ("ab " * 60, False), ("wordwordword " * 60, False), ("word# " * 60, False), ("word " * 60 + "•" * 55, False), ("word " * 60 + "•" * 54, True), ("long word ... " * 40, False), ("long word " * 35 + "... " * 30, True), ("long word " * 35 + "... " * 31, False), ("long... " * 60, False), ("", False)])
 def test_gopher_pkg(spark, value, kept):
     assert one(spark, quality.gopher_pkg, value) is kept
 
