@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,40 @@ def text_key(text="text"):
     return F.unhex(F.substring(F.sha2(F.col(text).cast("binary"), 256), 1, 32))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until df has no such column (case does not count)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers are reused from stage to stage."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, after which a worker keeps no freed memory."""
+
+    def thrifty_run(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return thrifty_run
+
+
 def keep_rows(df: DataFrame, mask) -> DataFrame:
     """The rows of df for which mask(batch) -> array of booleans holds; all columns as they were."""
 
@@ -52,4 +88,4 @@ def keep_rows(df: DataFrame, mask) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(mask(batch), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(thrifty(run), df.schema)
