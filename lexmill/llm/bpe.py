@@ -8,8 +8,11 @@ word meet: the word is encoded once and its ids go back to every (unit, index)
 that asked. The ids are joined to the documents by position, and decoded by
 joining each id with its piece. A unit mentions a word once, so no word is hot.
 
-The units are formed twice (once for the words, once for the documents) from the
-same rows in the same order; a unit that lacks an index fails loudly.
+The units are formed twice (once for the words, once for the documents). Both sides
+carry a digest of the unit's dictionary, whose order depends on words and counts
+only, and ids are only joined where the digests agree and every index has ids: if
+other rows fall into a unit the second time (a recomputed, unordered source), the
+job fails instead of mixing up words.
 
 Cases: a null text counts as empty and has no ids; the strings of special tokens
 in a text are special tokens; very long texts make a unit of their own; repeated
@@ -26,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .arrays import BASE_A, BASE_B, buffers, pieces, span_hashes
-from .common import shuffle_parts
+from .common import release_memory, shuffle_parts, thrifty
 
-UNIT_BYTES, PIECE = 16 << 20, 1 << 20
+UNIT_BYTES, PIECE = 8 << 20, 1 << 20
+KNOWN = 1 << 18  # words with ids that a task remembers at a time
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -200,7 +205,7 @@ def _numbers(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel() if raw else np.zeros(0, kind)
 
 
-def _units(path: str, want: str, parts: int):
+def _units(path: str, want: str, parts: int, unit_bytes: int):
     """A function from rows to units: their dictionaries by part of the word, or their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +213,9 @@ def _units(path: str, want: str, parts: int):
         squeeze = zstandard.ZstdCompressor(3)
         for batch in batches:
             _, offsets = buffers(batch["text"])
-            for i, j in pieces(offsets, UNIT_BYTES):
+            for i, j in pieces(offsets, unit_bytes):
                 words, rows = unit_words(splitter, batch["text"].slice(i, j - i))
+                digest = xxhash.xxh3_64_intdigest("\n".join(words)) >> 1
                 if want == "words":
                     part = np.array([zlib.crc32(w.encode()) % parts for w in words], np.int64)
                     order = np.argsort(part, kind="stable")
@@ -218,16 +224,16 @@ def _units(path: str, want: str, parts: int):
                     found = [order[edges[p] : edges[p + 1]] for p in some]
                     blobs = [squeeze.compress(_bytes_first(k.astype(np.uint32))) for k in found]
                     texts = [squeeze.compress("\n".join([words[x] for x in k.tolist()]).encode()) for k in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), number)), pa.array([len(k) for k in found], pa.int32()), pa.array(blobs, pa.binary()), pa.array(texts, pa.binary())], names=["part", "unit", "n", "at", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), number)), pa.array(np.full(len(some), digest)), pa.array([len(k) for k in found], pa.int32()), pa.array(blobs, pa.binary()), pa.array(texts, pa.binary())], names=["part", "unit", "digest", "n", "at", "words"])
                 else:
                     packed = [squeeze.compress(_bytes_first(r)) for r in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), number)), batch["doc_id"].slice(i, j - i).cast(pa.int64()), pa.array([len(r) for r in rows], pa.int32()), pa.array(packed, pa.binary())], names=["unit", "doc_id", "n", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), number)), pa.array(np.full(len(packed), digest)), batch["doc_id"].slice(i, j - i).cast(pa.int64()), pa.array([len(r) for r in rows], pa.int32()), pa.array(packed, pa.binary())], names=["unit", "digest", "doc_id", "n", "packed"])
                 number += 1
 
     return run
 
 
-def _encode(path: str):
+def _encode(path: str, most: int):
     """A function that gives the words of a task's parts their ids; each distinct word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,41 +246,47 @@ def _encode(path: str):
                 for word in expand.decompress(packed).decode().split("\n"):
                     got = known.get(word)
                     if got is None:
+                        if len(known) >= most:
+                            known.clear()
                         got = known[word] = splitter.encode(word)
                     count.append(len(got))
                     ids += got
                 out.append((squeeze.compress(_bytes_first(np.array(count, np.uint32))), squeeze.compress(_bytes_first(np.array(ids, np.uint32)))))
-            yield pa.RecordBatch.from_arrays([batch["unit"], batch["n"], batch["at"], pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["unit", "n", "at", "counts", "ids"])
+            yield pa.RecordBatch.from_arrays([batch["unit"], batch["digest"], batch["n"], batch["at"], pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["unit", "digest", "n", "at", "counts", "ids"])
 
     return run
 
 
-def tokens(docs: DataFrame, path: str | None = None, digest: bool = True) -> DataFrame:
+def tokens(docs: DataFrame, path: str | None = None, digest: bool = True, unit_bytes: int = UNIT_BYTES, known: int = KNOWN) -> DataFrame:
     """Per row its ids and decoded text, or (digest) their number and hashes."""
     path = path or tokenizer_path()
     source = docs.select("doc_id", "text")
     parts = shuffle_parts(docs.sparkSession)
-    encoded = source.mapInArrow(_units(path, "words", parts), "part int, unit long, n int, at binary, words binary").repartition(parts, "part").mapInArrow(_encode(path), "unit long, n int, at binary, counts binary, ids binary")
-    rows = source.mapInArrow(_units(path, "documents", parts), "unit long, doc_id long, n int, packed binary")
+    words = source.mapInArrow(thrifty(_units(path, "words", parts, unit_bytes)), "part int, unit long, digest long, n int, at binary, words binary")
+    encoded = words.repartitionById(parts, "part").mapInArrow(thrifty(_encode(path, known)), "unit long, digest long, n int, at binary, counts binary, ids binary")
+    rows = source.mapInArrow(thrifty(_units(path, "documents", parts, unit_bytes)), "unit long, digest long, doc_id long, n int, packed binary")
+
+    tokenizer = Splitter(path).tokenizer  # the pieces of all ids: as many as the vocabulary has
+    pieces_of = docs.sparkSession.sparkContext.broadcast([tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        splitter, expand = Splitter(path), zstandard.ZstdDecompressor()
-        piece: dict[int, str] = {}
+        piece, expand = pieces_of.value, zstandard.ZstdDecompressor()
+        if len({*left["digest"].to_pylist(), *right["digest"].to_pylist()}) > 1 or (not right.num_rows and any(left["n"].to_pylist())):
+            raise ValueError("the documents came in another order when they were read again: write them down first")
         total = sum(right["n"].to_pylist())
         numbers: list[str | None] = [None] * total
         text: list[str | None] = [None] * total
-        count = np.zeros(total, np.int64)
+        count, told = np.zeros(total, np.int64), np.zeros(total, bool)
         for packed in zip(*(right[c].to_pylist() for c in ("at", "counts", "ids")), strict=True):
             at, sizes, ids = (_numbers(expand.decompress(x), np.uint32) for x in packed)
-            for i in np.unique(ids).tolist():
-                if i not in piece:
-                    piece[i] = splitter.tokenizer.id_to_token(i)
-            count[at] = sizes
+            count[at], told[at] = sizes, True
             ids, end = ids.tolist(), 0
             for k, n in zip(at.tolist(), sizes.tolist(), strict=True):
                 own = ids[end : end + n]
                 end += n
                 numbers[k], text[k] = " ".join(map(str, own)), " ".join([piece[i] for i in own])
+        if not told.all():
+            raise ValueError("a unit lacks words of its dictionary")
         n_tokens, first, second = [], [], []
         for packed in left["packed"].to_pylist():
             index = _numbers(expand.decompress(packed), np.uint32)
@@ -286,7 +298,13 @@ def tokens(docs: DataFrame, path: str | None = None, digest: bool = True) -> Dat
             first, second = ([hashlib.sha256(x.encode()).hexdigest() for x in y] for y in (first, second))
         return pa.table([left["doc_id"], pa.array(n_tokens, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=[c.split()[0] for c in (RESULT if digest else WHOLE).split(", ")])
 
-    return rows.groupBy("unit").cogroup(encoded.groupBy("unit")).applyInArrow(join, RESULT if digest else WHOLE)
+    def frugal_join(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return join(left, right)
+        finally:
+            release_memory()
+
+    return rows.groupBy("unit").cogroup(encoded.groupBy("unit")).applyInArrow(frugal_join, RESULT if digest else WHOLE)
 
 
 WHOLE = "doc_id long, n_tokens long, ids string, decoded string"

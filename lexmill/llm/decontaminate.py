@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrays import BASE_A, BASE_B, buffers, pieces, span_hashes, words
-from .common import keep_rows
+from .common import keep_rows, thrifty
 
 WINDOW, MIN_ITEMS = 8, 2
 LONG_MATCH = 13  # words in a row that are no accident
@@ -194,7 +194,7 @@ def benchmark_overlap(docs: DataFrame, bench: DataFrame, window: int = WINDOW, m
             n_items = np.array([len(x) for x in items], np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(digests, pa.string()), pa.array(n_items >= min_items), pa.array(longest)], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), RESULT)
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, long_match: int = LONG_MATCH) -> DataFrame:

@@ -55,6 +55,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+
 DAMPING, THRESHOLD, LEAST = 0.9, 0.3, 8
 #: A text on this share of a node's pages is repeated; a host is judged if at least these shares of its text are not, inside a marked main part and on unmarked pages, the last for texts among the paragraphs of a main part, which have only their repetition against them.
 MOST, OWN_MARKED, OWN, OWN_AMONG = 0.8, 0.25, 0.1, 0.6
@@ -269,7 +271,7 @@ def style_tree(pages: DataFrame, least: int = LEAST) -> DataFrame:
     Pages of a host with one main text count once. Texts are named while they may
     stand on most pages of a node; the others of a node, and its styles, are summed (feature 0).
     """
-    once = pages.select(host_of().alias("host"), "html").mapInArrow(_features, PAGE).groupBy("host", "marked", "main").agg(F.min_by("features", "page").alias("features"))
+    once = pages.select(host_of().alias("host"), "html").mapInArrow(thrifty(_features), PAGE).groupBy("host", "marked", "main").agg(F.min_by("features", "page").alias("features"))
     one = once.select("host", "marked", F.explode("features").alias("f")).select("host", "marked", "f.*")
     counted = one.groupBy("host", "marked", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("weight").cast("double")).alias("weight"))
     k = F.col("k").cast("double")
@@ -402,4 +404,4 @@ def extract_main_text(pages: DataFrame, threshold: float = THRESHOLD, least: int
     # pages of a host are spread over SALTS tasks; what is cut on a host is small and goes to each of them
     salted = pages.select("page_id", "url", "html", host_of().alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).alias("salt"))
     spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "cut").mapInArrow(run, RESULT)
+    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "cut").mapInArrow(thrifty(run), RESULT)

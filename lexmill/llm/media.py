@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrays import buffers
+from .common import thrifty
 
 #: Magic numbers of public formats, with the offset of the magic in the file.
 MAGIC = [
@@ -248,7 +249,7 @@ def sniff_media(df: DataFrame, blob: str = "blob", declared: str = "declared", c
                 names=[*batch.schema.names, "media_type", "media_length", "declared_ok", "embedded"],
             )
 
-    return df.mapInArrow(run, f"{kinds}, {SNIFFED}")
+    return df.mapInArrow(thrifty(run), f"{kinds}, {SNIFFED}")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -282,4 +283,4 @@ def text_media(docs: DataFrame, unit: int = 64) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[c.split()[0] for c in FEATURES.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), FEATURES)

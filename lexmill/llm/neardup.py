@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BASE_A, BASE_B, MIX_1, U64, buffers, mix, pieces, span_hashes, words
-from .common import cut, text_key
+from .common import cut, text_key, thrifty
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -204,7 +204,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     """For each distinct text (tkey): class_id, class_size, and the key of the class's first text."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = source.select("doc_id", "text", text_key().alias("tkey"))
-    signed = keyed.filter(F.col("text").isNotNull()).mapInArrow(_sign(bands, rows), "doc_id long, tkey binary, bands array<long>")
+    signed = keyed.filter(F.col("text").isNotNull()).mapInArrow(thrifty(_sign(bands, rows)), "doc_id long, tkey binary, bands array<long>")
     # one node for each text; ids of rows read from the checkpoint are the same each time
     nodes = cut(signed.groupBy("tkey").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")))
     nodes = cut(nodes.withColumn("nid", F.monotonically_increasing_id()))
@@ -237,7 +237,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
                 ok.append(similarity(weights, known) >= threshold)
             yield pa.RecordBatch.from_arrays([batch["nid"], batch["label"], batch["centre"], batch["bytes"], pa.array(ok, pa.bool_())], names=["nid", "label", "centre", "bytes", "settled"])
 
-    judged = cut(texts.join(heart, "label").mapInArrow(compare, "nid long, label long, centre long, bytes long, settled boolean"))
+    judged = cut(texts.join(heart, "label").mapInArrow(thrifty(compare), "nid long, label long, centre long, bytes long, settled boolean"))
     star = judged.filter("settled").select(F.col("label").alias("group"), "nid")
     # blocks of what is left: fresh nodes (f) and settled ones (s), dealt by a hash, bounded in nodes and bytes
     rest = judged.filter("not settled or nid <> centre")

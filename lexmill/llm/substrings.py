@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BASE_A, BASE_B, U64, buffers, mix, pieces, runs
-from .common import shuffle_parts, text_key
+from .common import shuffle_parts, text_key, thrifty
 
 LENGTH, GRAM = 100, 32
 PIECE = 2 << 20  # bytes of text worked on at a time
@@ -429,11 +429,11 @@ def marked(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn(DID, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(TAIL, F.xxhash64(text_key()))
     low = F.min(F.struct(F.col(DID).alias("did"), F.col(TAIL).alias("tail"))).alias("low")
     firsts = keyed.groupBy(text_key().alias("tkey")).agg(low).select(F.col("low.did").alias(DID), F.col("low.tail").alias(TAIL), F.lit(True).alias(FIRST))
-    anchors = keyed.select(DID, TAIL, "text").filter(F.octet_length("text") >= LENGTH).mapInArrow(_anchors(parts), "part int, n int, blob binary").repartition(parts, "part")
-    again = anchors.mapInArrow(_repeated, f"{DID} long, {TAIL} long, blob binary").groupBy(DID, TAIL).agg(F.collect_list("blob").alias(BLOBS))
+    anchors = keyed.select(DID, TAIL, "text").filter(F.octet_length("text") >= LENGTH).mapInArrow(thrifty(_anchors(parts)), "part int, n int, blob binary").repartition(parts, "part")
+    again = anchors.mapInArrow(thrifty(_repeated), f"{DID} long, {TAIL} long, blob binary").groupBy(DID, TAIL).agg(F.collect_list("blob").alias(BLOBS))
     dealt = keyed.repartition(parts, DID, TAIL)
-    found = dealt.join(again, [DID, TAIL]).mapInArrow(_strand_bytes(parts), "part int, n int, blob binary, strands binary").repartition(parts, "part")
-    spans = found.mapInArrow(_removals, f"{DID} long, {TAIL} long, blob binary").groupBy(DID, TAIL).agg(F.collect_list("blob").alias(BLOBS))
+    found = dealt.join(again, [DID, TAIL]).mapInArrow(thrifty(_strand_bytes(parts)), "part int, n int, blob binary, strands binary").repartition(parts, "part")
+    spans = found.mapInArrow(thrifty(_removals), f"{DID} long, {TAIL} long, blob binary").groupBy(DID, TAIL).agg(F.collect_list("blob").alias(BLOBS))
     return dealt.join(firsts, [DID, TAIL], "left").join(spans, [DID, TAIL], "left").withColumn(COPY, F.col(FIRST).isNull()).drop(DID, TAIL, FIRST)
 
 
@@ -466,7 +466,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return marked(docs.select("doc_id", "text")).mapInArrow(run, RESULT)
+    return marked(docs.select("doc_id", "text")).mapInArrow(thrifty(run), RESULT)
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -496,4 +496,4 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(keep, pa.bool_()))
 
-    return marked(docs).select(*schema.names, BLOBS, COPY).mapInArrow(run, schema)
+    return marked(docs).select(*schema.names, BLOBS, COPY).mapInArrow(thrifty(run), schema)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BASE_B, MIX_1, U64, buffers, mix, pieces, span_hashes, words
+from .common import thrifty
 
 BITS = 18
 MAX_ROWS, FOLDS, FEATURES, LEAST_ROWS = 8000, 5, 1000, 4
@@ -192,4 +193,4 @@ def score(docs: DataFrame, model: Chain) -> DataFrame:
             p = chain.predict(list(features(batch["text"])))
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *(pa.array(p[:, k].copy()) for k in range(len(names))), *(pa.array(p[:, k] >= link.threshold) for k, link in enumerate(chain.links))], names=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), schema)
