@@ -57,7 +57,7 @@ def pieces(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-KEPT_POWERS = (2 << 20) + 1  # entries that a worker keeps; longer tables are made for the one text that needs them
+KEPT_POWERS = (1 << 20) + 1  # entries that a worker keeps; longer tables are made for the one text that needs them
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +78,25 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+class Spans:
+    """64-bit hashes of spans values[start:end], equal for equal content; any number may be asked for."""
+
+    def __init__(self, values: np.ndarray, base: np.uint64 = BASE_A):
+        n = len(values)
+        up, self.down = powers(base, n + 1)
+        self.run = np.zeros(n + 1, U64)
+        with np.errstate(over="ignore"):
+            np.cumsum((values.astype(U64) + U64(1)) * up[:n], out=self.run[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (self.run[ends] - self.run[starts]) * self.down[starts]
+            return mix(h + (ends - starts).astype(U64) * BASE_B)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BASE_A) -> np.ndarray:
     """A 64-bit hash of each span values[start:end], equal for equal content."""
-    n = len(values)
-    up, down = powers(base, n + 1)
-    with np.errstate(over="ignore"):
-        run = np.zeros(n + 1, U64)
-        np.cumsum((values.astype(U64) + U64(1)) * up[:n], out=run[1:])
-        h = (run[ends] - run[starts]) * down[starts]
-        return mix(h + (ends - starts).astype(U64) * BASE_B)
+    return Spans(values, base)(starts, ends)
 
 
 #: Lower-cases A-Z only.
