@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(members: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(members: DataFrame) -> DataFrame:
     """(nid, label) for (group, nid) pairs: nodes that share a group share a label.
 
     Every round gives each group the least label of its members and each node
@@ -18,7 +18,7 @@ def components(members: DataFrame, most_rounds: int = 100) -> DataFrame:
     """
     labels = members.groupBy("nid").agg(F.min("nid").alias("label"))
     labels = cut(labels)
-    for _ in range(most_rounds):
+    while True:
         least = members.join(labels, "nid").groupBy("group").agg(F.min("label").alias("low"))
         near = members.join(least, "group").groupBy("nid").agg(F.min("low").alias("low"))
         hop = labels.select(F.col("nid").alias("low"), F.col("label").alias("next"))
@@ -26,4 +26,3 @@ def components(members: DataFrame, most_rounds: int = 100) -> DataFrame:
         labels = new.select("nid", "label")
         if new.filter(F.col("label") < F.col("old")).isEmpty():
             return labels
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")

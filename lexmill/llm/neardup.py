@@ -14,7 +14,10 @@ of all texts of a batch take their k-th step together.
 3. The node of a group that shares most bands with others is its centre. Every
    member is compared with the centre exactly; those at or above the threshold
    are settled.
-4. What is not settled is compared exactly with all other members of its group,
+4. What is not settled is compared exactly with the nodes that share a band with it,
+   band by band, bands with the same nodes once; or, where that names more pairs
+   than the group has, with all other members of its group. So a group that only
+   hangs together by chains of bands costs what its bands cost. This is done
    in blocks of `BLOCK` nodes: a pair of blocks is one task's work. Inside, a
    prefix filter on rare shingles leaves out pairs that cannot reach the
    threshold, and pairs already connected are skipped. Only links come out, at
@@ -26,7 +29,8 @@ So hot groups are split into block pairs, no list of pairs or links is gathered,
 and no candidate is dropped.
 
 Cases: a null text is a class of its own; texts without words are only alike if
-equal; repeated rows belong to their text's class; a null doc_id is carried;
+equal; repeated rows belong to their text's class, and if one of them is its first
+all are (keep_first keeps one); a null doc_id is carried;
 the class id is the least doc_id of the class (null only if all are null);
 other columns are ignored; an empty table gives an empty result.
 """
@@ -42,12 +46,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BASE_A, BASE_B, MIX_1, U64, buffers, mix, pieces, span_hashes, words
-from .common import cut, text_key, thrifty
+from .common import cut, fresh, text_key, thrifty
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 7  # a pair at the threshold shares a band with probability 0.997
-BLOCK, BLOCK_BYTES = 400, 4 << 20
+BLOCK, BLOCK_BYTES = 200, 4 << 20
 NO_ID = -(1 << 63)
 PIECE = 1 << 20
 
@@ -239,19 +243,26 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
 
     judged = cut(texts.join(heart, "label").mapInArrow(thrifty(compare), "nid long, label long, centre long, bytes long, settled boolean"))
     star = judged.filter("settled").select(F.col("label").alias("group"), "nid")
-    # blocks of what is left: fresh nodes (f) and settled ones (s), dealt by a hash, bounded in nodes and bytes
-    rest = judged.filter("not settled or nid <> centre")
+    # what is left: fresh nodes (f) and settled ones (s; connected already), in a whole group or in the bands that its
+    # nodes share, whichever names fewer pairs; bands with the same nodes count once
+    rest = judged.filter("not settled or nid <> centre").select("nid", "label", "settled", "bytes")
     is_fresh = ~F.col("settled")
     tally = lambda what, value, name: F.coalesce(F.sum(F.when(what, value)), F.lit(0)).alias(name)
+    sizes_of = [tally(is_fresh, F.lit(1), "f"), tally(~is_fresh, F.lit(1), "s"), tally(is_fresh, F.col("bytes"), "f_bytes"), tally(~is_fresh, F.col("bytes"), "s_bytes")]
+    pairs_of = (F.col("f") * (F.col("f") + F.col("s"))).cast("double")
+    same_nodes = [F.bit_xor(F.xxhash64("nid")).alias("x"), F.sum(F.pmod(F.xxhash64("nid", F.lit(1)), F.lit(1 << 31))).alias("y")]
+    in_bands = members.select("group", "nid").join(rest, "nid")
+    shared_bands = in_bands.groupBy("label", "group").agg(*sizes_of, *same_nodes).filter("f > 0 and f + s > 1").groupBy("label", "x", "y", "f", "s").agg(F.min("group").alias("unit"), F.max("f_bytes").alias("f_bytes"), F.max("s_bytes").alias("s_bytes"))
+    shared_bands = cut(shared_bands.drop("x", "y"))
+    groups = rest.groupBy("label").agg(*sizes_of).filter("f > 0 and f + s > 1")
+    by_band = groups.join(shared_bands.groupBy("label").agg(F.sum(pairs_of).alias("pairs")), "label").filter(F.col("pairs") < pairs_of).select("label")
+    kinds = ["by", "unit", "f", "s", "f_bytes", "s_bytes"]
+    units = groups.join(by_band, "label", "left_anti").withColumns({"by": F.lit("group"), "unit": F.col("label")}).select(kinds).union(shared_bands.join(by_band, "label", "left_semi").withColumn("by", F.lit("band")).select(kinds))
     blocks_of = lambda n, size: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(size) / BLOCK_BYTES)).cast("int")
-    counts = (
-        rest.groupBy("label")
-        .agg(tally(is_fresh, F.lit(1), "f"), tally(~is_fresh, F.lit(1), "s"), tally(is_fresh, F.col("bytes"), "f_bytes"), tally(~is_fresh, F.col("bytes"), "s_bytes"))
-        .filter("f > 0 and f + s > 1")
-        .select("label", blocks_of("f", "f_bytes").alias("fs"), blocks_of("s", "s_bytes").alias("ss"), ((F.col("f") + F.col("s") <= BLOCK) & (F.col("f_bytes") + F.col("s_bytes") <= BLOCK_BYTES)).alias("small"))
-    )
+    counts = units.select("by", "unit", blocks_of("f", "f_bytes").alias("fs"), blocks_of("s", "s_bytes").alias("ss"), ((F.col("f") + F.col("s") <= BLOCK) & (F.col("f_bytes") + F.col("s_bytes") <= BLOCK_BYTES)).alias("small"))
+    placed_in = rest.select(F.lit("group").alias("by"), F.col("label").alias("unit"), "nid", "settled").union(in_bands.select(F.lit("band").alias("by"), F.col("group").alias("unit"), "nid", "settled"))
     deal = lambda n: F.pmod(F.xxhash64("nid"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    dealt = rest.join(counts, "label").withColumn("block", F.when(F.col("settled"), deal("ss")).otherwise(deal("fs")))
+    dealt = placed_in.join(counts, ["by", "unit"]).withColumn("block", F.when(F.col("settled"), deal("ss")).otherwise(deal("fs")))
     # a fresh block meets itself and the later fresh blocks (pair a <= b), and each settled block (pair a, -1 - b)
     small = F.col("small")
     all_of = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0)))
@@ -261,7 +272,8 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     )
     settled_pairs = F.transform(all_of("fs"), lambda o: F.struct(o.alias("a"), (-1 - F.col("block")).alias("b")))
     one = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
-    work = dealt.withColumn("pair", F.explode(F.when(small, one).when(F.col("settled"), settled_pairs).otherwise(fresh_pairs))).select("nid", "label", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "settled", F.when(small, -1).when(F.col("settled"), 1).when(F.col("pair.a") == F.col("pair.b"), -1).when(F.col("pair.b") < 0, 0).otherwise((F.col("block") == F.col("pair.b")).cast("int")).alias("side"))
+    side = F.when(small, -1).when(F.col("settled"), 1).when(F.col("pair.a") == F.col("pair.b"), -1).when(F.col("pair.b") < 0, 0).otherwise((F.col("block") == F.col("pair.b")).cast("int"))
+    work = dealt.withColumn("pair", F.explode(F.when(small, one).when(F.col("settled"), settled_pairs).otherwise(fresh_pairs))).select("nid", "by", "unit", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "settled", side.alias("side"))
 
     def block_links(table: pa.Table) -> pa.Table:
         table = table.sort_by("nid")
@@ -270,7 +282,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
         found = links(weights, ~np.asarray(table["settled"].to_numpy(), bool), table["side"].to_numpy(), threshold)
         return pa.table([pa.array([nid[i] for i, _ in found], pa.int64()), pa.array([nid[j] for _, j in found], pa.int64())], names=["x", "y"])
 
-    linked = cut(work.join(texts.select("nid", "text"), "nid").groupBy("label", "a", "b").applyInArrow(block_links, "x long, y long"))
+    linked = cut(work.join(texts.select("nid", "text"), "nid").groupBy("by", "unit", "a", "b").applyInArrow(block_links, "x long, y long"))
     edges = linked.select((-1 - F.monotonically_increasing_id()).alias("group"), F.array("x", "y").alias("pair")).select("group", F.explode("pair").alias("nid"))
     # a class: what the stars (named by their label) and the links (numbered below 0) connect
     together = cut(star.union(edges))
@@ -297,7 +309,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of docs for each class of near-duplicates, and every row without a text."""
-    firsts = text_classes(docs, threshold).filter(F.col("tkey") == F.col("first_key")).select(F.col("tkey").alias("__tkey"), F.coalesce("class_id", F.lit(NO_ID)).alias("__at"))
-    keyed = docs.filter(F.col("text").isNotNull()).withColumn("__tkey", text_key()).withColumn("__at", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    kept = keyed.join(firsts, ["__tkey", "__at"]).dropDuplicates(["__tkey", "__at"]).select(*docs.columns)
+    tkey, at = fresh(docs, "tkey", "at")
+    firsts = text_classes(docs, threshold).filter(F.col("tkey") == F.col("first_key")).select(F.col("tkey").alias(tkey), F.coalesce("class_id", F.lit(NO_ID)).alias(at))
+    keyed = docs.filter(F.col("text").isNotNull()).withColumn(tkey, text_key()).withColumn(at, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    kept = keyed.join(firsts, [tkey, at]).dropDuplicates([tkey, at]).select(*docs.columns)
     return kept.unionByName(docs.filter(F.col("text").isNull()))

@@ -78,3 +78,19 @@ def test_odd_rows(odd, none):
     kept = neardup.keep_first(odd)
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "None", "3", "4", "5", "7", "8", "9", "10"])
+    assert all(r.is_first for r in got if r.doc_id == 5) and not any(r.is_first for r in got if r.doc_id == 6)
+
+
+def test_group_held_together_by_chains(spark, monkeypatch):
+    """A long chain of overlapping texts is one group of candidates; its pairs are taken band by band."""
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    words = [f"w{i}" for i in range(1200)]
+    rows = [(k, " ".join(words[12 * k : 12 * k + 110])) for k in range(90)]
+    rows += [(1000 + k, " ".join(words[240 + k : 350 + k])) for k in range(4)]  # really alike
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str((r.doc_id, r.class_id)) for r in neardup.near_duplicates(df).collect()) == classes(df)
+
+
+def test_clashing_names(odd):
+    other = odd.withColumnsRenamed({"size": "at", "shard": "by"})
+    assert neardup.keep_first(other).columns == other.columns and neardup.near_duplicates(other).count() == other.count()
