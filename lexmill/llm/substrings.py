@@ -13,10 +13,16 @@ of text. Strands are the unit of everything below.
    window at all), and earlier copies already supply what they could.
 2. (anchor hash, place) of all strands, packed as columns, are dealt by hash;
    only strands whose anchor occurs at least twice in the corpus stay. A lost
-   strand has no equal anywhere, so nothing is missed.
-3. What stays goes back to its document for its bytes and is dealt again.
-   Equal strands meet: all but the first are removed, the first stands for all.
-4. The distinct strands of some anchors are concatenated with separators, and
+   strand has no equal anywhere, so nothing is missed. An anchor that a task
+   itself sees twice is known to stay: one of its strands goes to the others'
+   part, the rest pass through any part, so no part gets all of a common passage.
+3. What stays goes back to its document for its bytes, packed by bundles of
+   documents (`BUNDLES` for each partition; their number of rows follows from
+   partitions, not from documents times partitions). Equal strands of a bundle
+   are collapsed: all but the first are removed.
+4. The distinct strands are dealt by anchor. Equal strands meet once more: all but
+   the first are removed, the first stands for all. Strands of some anchors
+   are concatenated with separators, and
    the transform of that text is searched breadth-first. From the interval of all
    suffixes, each step extends every interval backward by each byte that
    precedes it; the upper neighbour of a new interval that has no value yet
@@ -24,7 +30,10 @@ of text. Strands are the unit of everything below.
    gets it as its value. Values come out in increasing order; at depth LENGTH the
    search stops. Suffixes still joined to their neighbour without a value begin
    equal windows; of each such run all but the first place are removed.
-5. Removed ranges are united per document and cut out.
+   An anchor with more text than one transform takes is dealt further: a window
+   holds either the 34 bytes before its anchor or the 34 after it, so each strand
+   is halved at that place and the halves are dealt by those bytes.
+5. Removed ranges go back to their bundles, are united per document and cut out.
 
 Cases: a null text counts as empty; texts shorter than LENGTH lose nothing;
 documents that share an id are ordered by the hash of their text; repeated rows
@@ -35,24 +44,24 @@ last; very long texts are worked on in pieces; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BASE_A, BASE_B, U64, buffers, mix, pieces, runs
-from .common import shuffle_parts, text_key, thrifty
+from .common import fresh, release_memory, shuffle_parts, text_key, thrifty
 
 LENGTH, GRAM = 100, 32
 PIECE = 2 << 20  # bytes of text worked on at a time
 FLUSH = 1 << 20  # strands packed at a time
 CHUNK = 192 << 10  # bytes of one transform: what the processor caches hold
 LAST = (1 << 63) - 1
-LEAST_PARTS = 64
-DID, TAIL, FIRST, BLOBS, COPY = "__did", "__tail", "__first", "__blobs", "__copy"
+BUNDLES = 4  # bundles of documents for each partition
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 
 
@@ -121,39 +130,84 @@ def _unpack(blob: bytes, n: int, kinds: list) -> list[np.ndarray]:
     return out
 
 
-def _deal(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, indices) by the high bits of mixed keys."""
+def _deal(keys: np.ndarray, parts: int, some: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, indices) by the high bits of mixed keys, of some indices only."""
     part = ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(edges)):
-        yield int(p), order[edges[p] : edges[p + 1]]
+    for p, i in _by(part if some is None else part[some]):
+        yield p, i if some is None else some[i]
 
 
-def _anchors(parts: int):
-    """Rows (did, tail, text) to packed anchors by part: (part, n, blob of hash, did, tail, start, windows)."""
+KINDS = [np.uint64, np.int64, np.int64, np.int64, np.uint8]  # anchor hash, document, tail, start, windows
+PLACES, RANGES = KINDS[1:], [np.int64] * 4  # document, tail, start, windows; document, tail, start, end
+JUDGED = -1  # the bundle of rows that go no further than the part they are dealt to
+DEALT = "part int, bundle int, n int, blob binary"
+
+
+def bundle_of(did: np.ndarray, tail: np.ndarray, bundles: int) -> np.ndarray:
+    """The bundle of each document, the same as marked() has in SQL; copies of a text are spread by their ids."""
+    return (did ^ tail) % bundles
+
+
+def _by(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, indices) of equal small numbers."""
+    order = np.argsort(group, kind="stable")
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0))) if len(order) else order
+    for k in np.split(order, edges[1:]) if len(order) else ():
+        yield int(group[k[0]]), k
+
+
+def _packed(did: np.ndarray, tail: np.ndarray, others: list[np.ndarray], bundles: int) -> list[tuple[int, int, bytes]]:
+    """(bundle, n, blob) of columns about documents."""
+    return [(g, len(k), _pack(did[k], tail[k], *(c[k] for c in others))) for g, k in _by(bundle_of(did, tail, bundles))]
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _once(h: np.ndarray, did: np.ndarray, tail: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Indices by hash, without strands of copies: equal texts have equal tails, and of their strands only the first document's counts."""
+    order = np.lexsort((did, start, tail, h))
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for c in (h, tail, start):
+        same &= c[order][1:] == c[order][:-1]
+    return order[~np.concatenate(([False], same))] if len(order) else order
+
+
+def _anchors(parts: int, bundles: int, flush: int):
+    """Rows (did, tail, text) to packed anchors by part, and places known to be repeated by bundle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(5)]
+        held: list[list[np.ndarray]] = [[] for _ in KINDS]
         size = 0
 
         def out() -> pa.RecordBatch:
-            h, did, tail, start, windows = (np.concatenate(c) for c in held)
+            columns = [np.concatenate(c) for c in held]
             for c in held:
                 c.clear()
-            rows = [(p, len(i), _pack(h[i], did[i], tail[i], start[i], windows[i])) for p, i in _deal(mix(h ^ BASE_B), parts)]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["part", "n", "blob"])
+            order = _once(*columns[:4])
+            h, did, tail, start, windows = (c[order] for c in columns)
+            same = h[1:] == h[:-1]
+            twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            first = ~np.concatenate(([False], same))
+            windows = windows | (twice & first).astype(np.uint8) << 7  # known to occur twice; there are less than 128 windows
+            rows = [(p, JUDGED, len(i), _pack(h[i], did[i], tail[i], start[i], windows[i])) for p, i in _deal(mix(h ^ BASE_B), parts, np.flatnonzero(first))]
+            k = np.flatnonzero(~first)
+            rows += [(g * parts // bundles, *x) for x in _packed(did[k], tail[k], [start[k], windows[k]], bundles) for g in x[:1]]
+            return _rows(rows, DEALT)
 
         for batch in batches:
             raw, offsets = buffers(batch["text"])
-            dids, tails = batch[DID].to_numpy(), batch[TAIL].to_numpy()
+            dids, tails = batch["did"].to_numpy(), batch["tail"].to_numpy()
             for i in np.flatnonzero(np.diff(offsets) >= LENGTH):
                 h, start, windows = strands(raw[offsets[i] : offsets[i + 1]])
                 n = len(h)
                 for c, v in zip(held, (h, np.full(n, dids[i]), np.full(n, tails[i]), start.astype(np.int64), windows.astype(np.uint8)), strict=True):
                     c.append(v)
                 size += n
-                if size >= FLUSH:
+                if size >= flush:
                     yield out()
                     size = 0
         if size:
@@ -162,71 +216,77 @@ def _anchors(parts: int):
     return run
 
 
-KINDS = [np.uint64, np.int64, np.int64, np.int64, np.uint8]
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packed anchors of a task's parts to the strands whose anchor occurs twice, by document."""
-    columns: list[list[np.ndarray]] = [[] for _ in KINDS]
-    for batch in batches:
-        for n, blob in zip(batch["n"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-            for c, v in zip(columns, _unpack(blob, n, KINDS), strict=True):
-                c.append(v)
-    if not columns[0]:
-        return
-    h, did, tail, start, windows = (np.concatenate(c) for c in columns)
-    columns.clear()
-    # copies of a text have equal tails: of a strand of theirs only the first document's counts
-    order = np.lexsort((did, start, tail, h))
-    same = h[order][1:] == h[order][:-1]
-    copy = np.concatenate(([False], same & (tail[order][1:] == tail[order][:-1]) & (start[order][1:] == start[order][:-1])))
-    order = order[~copy]
-    same = h[order][1:] == h[order][:-1]
-    at = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-    if not len(at):
-        return
-    at = at[np.lexsort((start[at], tail[at], did[at]))]
-    d, t = did[at], tail[at]
-    edges = np.concatenate(([0], np.flatnonzero((d[1:] != d[:-1]) | (t[1:] != t[:-1])) + 1, [len(at)]))
-    for k in range(0, len(edges) - 1, 4096):
-        e = edges[k : k + 4097]
-        blobs = [start[at[a:b]].tobytes() + windows[at[a:b]].tobytes() for a, b in zip(e[:-1], e[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(d[e[:-1]]), pa.array(t[e[:-1]]), pa.array(blobs, pa.binary())], names=[DID, TAIL, "blob"])
-
-
-def _strand_bytes(parts: int):
-    """Documents with their repeated strands to packed strands by part of the anchor."""
+def _repeated(bundles: int):
+    """The packed anchors of a part to the places whose anchor occurs twice, by bundle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in range(6)]
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            h, did, tail, start, windows = (np.concatenate(c) for c in held[:5])
-            texts = [t for c in held[5] for t in c]
-            for c in held:
-                c.clear()
-            rows = [(p, len(i), _pack(h[i], did[i], tail[i], start[i], windows[i]), zstandard.ZstdCompressor(3).compress(b"".join([texts[k] for k in i]))) for p, i in _deal(mix(h ^ BASE_B), parts)]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "n", "blob", "strands"])
-
+        columns: list[list[np.ndarray]] = [[] for _ in KINDS]
         for batch in batches:
-            raw, offsets = buffers(batch["text"])
-            dids, tails = batch[DID].to_numpy(), batch[TAIL].to_numpy()
-            for i, blobs in enumerate(batch[BLOBS].to_pylist()):
-                text = raw[offsets[i] : offsets[i + 1]]
-                n = sum(len(b) for b in blobs) // 9
-                start = np.concatenate([np.frombuffer(b[: len(b) // 9 * 8], np.int64) for b in blobs])
-                windows = np.concatenate([np.frombuffer(b[len(b) // 9 * 8 :], np.uint8) for b in blobs])
-                h = strand_anchor(text, start, windows)
-                whole = text.tobytes()
-                for c, v in zip(held, (h, np.full(n, dids[i]), np.full(n, tails[i]), start, windows, [whole[a : a + w + LENGTH - 1] for a, w in zip(start.tolist(), windows.tolist(), strict=True)]), strict=True):
+            rows = list(zip(*(batch[c].to_pylist() for c in ("bundle", "n", "blob")), strict=True))
+            if through := [r for r in rows if r[0] != JUDGED]:
+                yield _rows(through, "bundle int, n int, blob binary")
+            for _, n, blob in (r for r in rows if r[0] == JUDGED):
+                for c, v in zip(columns, _unpack(blob, n, KINDS), strict=True):
                     c.append(v)
-                size += n
-                if size >= FLUSH // 4:
-                    yield out()
-                    size = 0
-        if size:
-            yield out()
+        if not columns[0]:
+            return
+        whole = [np.concatenate(c) for c in columns]
+        columns.clear()
+        known = np.unique(whole[0][whole[4] >= 128])
+        order = _once(*whole[:4])
+        h, did, tail, start, windows = (c[order] for c in whole)
+        same = h[1:] == h[:-1]
+        stays = np.concatenate((same, [False])) | np.concatenate(([False], same)) | np.isin(h, known)
+        if stays.any():
+            yield _rows(_packed(did[stays], tail[stays], [start[stays], windows[stays] & 127], bundles), "bundle int, n int, blob binary")
+
+    return run
+
+
+def _unpacked(table: pa.Table, kinds: list) -> list[np.ndarray]:
+    """Columns of all packed rows."""
+    got = [_unpack(blob, n, kinds) for n, blob in zip(table["n"].to_pylist(), table["blob"].to_pylist(), strict=True) if blob is not None]
+    return [np.concatenate([g[k] for g in got] or [np.zeros(0, kinds[k])]) for k in range(len(kinds))]
+
+
+def _slices(did: np.ndarray, tail: np.ndarray) -> dict[tuple[int, int], slice]:
+    """Where each document's rows are, in columns sorted by document."""
+    edges = np.concatenate(([0], np.flatnonzero((did[1:] != did[:-1]) | (tail[1:] != tail[:-1])) + 1, [len(did)])) if len(did) else np.zeros(1, np.int64)
+    return {(int(did[a]), int(tail[a])): slice(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
+
+
+def _strand_bytes(parts: int, bundles: int, did_name: str, tail_name: str):
+    """A bundle of documents and its repeated places to packed strands by part of the anchor, and ranges already known to go."""
+
+    def run(docs: pa.Table, places: pa.Table) -> pa.Table:
+        did, tail, start, windows = _unpacked(places, PLACES)
+        order = np.lexsort((start, tail, did))
+        did, tail, start, windows = did[order], tail[order], start[order], windows[order] & 127
+        new = np.ones(len(did), bool)  # a row that is read twice names its places twice
+        new[1:] = (did[1:] != did[:-1]) | (tail[1:] != tail[:-1]) | (start[1:] != start[:-1])
+        did, tail, start, windows = did[new], tail[new], start[new], windows[new]
+        at = _slices(did, tail)
+        found: dict[tuple[int, int], list] = {}
+        for doc, key in enumerate(zip(docs[did_name].to_pylist(), docs[tail_name].to_pylist(), strict=True)):
+            if key in at and key not in found:  # a repeated row brings nothing new
+                found[key] = doc
+        anchors, texts = np.zeros(len(did), U64), [b""] * len(did)
+        for key, doc in found.items():
+            raw, k = docs["text"][doc].as_py().encode(), at[key]
+            anchors[k] = strand_anchor(np.frombuffer(raw, np.uint8), start[k], windows[k])
+            texts[k] = [raw[a : a + w + LENGTH - 1] for a, w in zip(start[k].tolist(), windows[k].tolist(), strict=True)]
+        # in the order of documents, so the first of equal strands is the one that stays
+        seen: set[bytes] = set()
+        fresh_one = np.array([not (t in seen or seen.add(t)) for t in texts], bool)
+        seen.clear()
+        h = anchors[fresh_one]
+        columns, texts = [c[fresh_one] for c in (did, tail, start, windows)], [t for t, f in zip(texts, fresh_one, strict=True) if f]
+        squeeze = zstandard.ZstdCompressor(3)
+        rows = [(p, JUDGED, len(i), _pack(h[i], *(c[i] for c in columns)), squeeze.compress(b"".join([texts[k] for k in i.tolist()]))) for p, i in _deal(mix(h ^ BASE_B), parts)]
+        copy = ~fresh_one
+        rows += [(g * parts // bundles, g, n, blob, None) for g, n, blob in _packed(did[copy], tail[copy], [start[copy], start[copy] + windows[copy] + LENGTH - 1], bundles)]
+        release_memory()
+        return pa.Table.from_batches([_rows(rows, DEALT + ", strands binary")])
 
     return run
 
@@ -345,68 +405,103 @@ def repeated_windows(parts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     return [flags[s : s + n] for s, n in zip(starts, sizes, strict=True)]
 
 
-def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packed strands of a task's parts to removed byte ranges by document."""
-    columns: list[list[np.ndarray]] = [[] for _ in KINDS]
-    texts: list[bytes] = []
-    for batch in batches:
-        for n, blob, packed in zip(*(batch[c].to_pylist() for c in ("n", "blob", "strands")), strict=True):
-            got = _unpack(blob, n, KINDS)
-            for c, v in zip(columns, got, strict=True):
-                c.append(v)
-            size = got[4].astype(np.int64) + LENGTH - 1
-            raw = zstandard.ZstdDecompressor().decompress(packed, max_output_size=int(size.sum()) + 1)
-            ends = np.cumsum(size)
-            texts += [raw[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
-    if not texts:
-        return
-    h, did, tail, start, windows = (np.concatenate(c) for c in columns)
-    order = np.lexsort((start, tail, did, h))
-    # a repeated row brings its strands twice
-    place = [c[order] for c in (h, did, tail, start)]
-    order = order[np.concatenate(([True], np.any([c[1:] != c[:-1] for c in place], axis=0)))]
-    gone: list[tuple] = []
-
-    def solve(some: list[int]) -> None:
-        parts = [texts[i] for i in some]
-        place = np.lexsort((start[some], tail[some], did[some]))
-        rank = np.empty(len(some), np.int64)
-        rank[place] = np.arange(len(some))
-        for i, flags in zip(some, repeated_windows(parts, rank), strict=True):
-            if flags.any():
-                a, b = runs(flags)
-                gone.append((np.full(len(a), did[i]), np.full(len(a), tail[i]), start[i] + a, start[i] + b + LENGTH - 1))
-
-    chunk, size = [], 0
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(h[order])) + 1, [len(order)]))
-    copies = []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        seen: dict[bytes, int] = {}
-        for i in order[a:b].tolist():
-            if texts[i] in seen:
-                copies.append(i)
-            else:
-                seen[texts[i]] = i
-        chunk += seen.values()
-        size += sum(len(t) for t in seen)
-        if size >= CHUNK:
-            solve(chunk)
+def halves(text: bytes, anchor: int, start: int, windows: int) -> list[tuple[bytes, int, int]]:
+    """(bytes that all its windows hold, start, windows) of a strand's two halves.
+
+    The anchor begins at `anchor` of the text. A window holds at least SIDE bytes
+    before the anchor, or else at least SIDE bytes behind it.
+    """
+    cut = min(max(anchor - SIDE + 1, 0), windows)  # windows from here on hold less than SIDE bytes before it
+    out = []
+    if cut:
+        out.append((text[anchor - SIDE : anchor], start, cut))
+    if cut < windows:
+        out.append((text[anchor + GRAM : anchor + GRAM + SIDE], start + cut, windows - cut))
+    return out
+
+
+SIDE = (LENGTH - GRAM) // 2
+
+
+def _removals(bundles: int, most: int):
+    """All packed strands of a part to removed byte ranges by bundle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list[np.ndarray]] = [[] for _ in KINDS]
+        texts: list[bytes] = []
+        for batch in batches:
+            rows = list(zip(*(batch[c].to_pylist() for c in ("bundle", "n", "blob", "strands")), strict=True))
+            if through := [r[:3] for r in rows if r[0] != JUDGED]:
+                yield _rows(through, "bundle int, n int, blob binary")
+            for _, n, blob, packed in (r for r in rows if r[0] == JUDGED):
+                got = _unpack(blob, n, KINDS)
+                for c, v in zip(columns, got, strict=True):
+                    c.append(v)
+                size = got[4].astype(np.int64) + LENGTH - 1
+                raw = zstandard.ZstdDecompressor().decompress(packed, max_output_size=int(size.sum()) + 1)
+                ends = np.cumsum(size)
+                texts += [raw[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+        if not texts:
+            return
+        h, did, tail, start, windows = (np.concatenate(c) for c in columns)
+        order = np.lexsort((start, tail, did, h))
+        gone: list[tuple] = []
+
+        def solve(some: list[tuple[int, int, int]]) -> None:
+            """Pieces of strands: (index, first window, windows)."""
+            k = np.array(some, np.int64)
+            parts = [texts[i][a : a + w + LENGTH - 1] for i, a, w in some]
+            place = np.lexsort((start[k[:, 0]] + k[:, 1], tail[k[:, 0]], did[k[:, 0]]))
+            rank = np.empty(len(some), np.int64)
+            rank[place] = np.arange(len(some))
+            for (i, first, _), flags in zip(some, repeated_windows(parts, rank), strict=True):
+                if flags.any():
+                    a, b = runs(flags)
+                    gone.append((np.full(len(a), did[i]), np.full(len(a), tail[i]), start[i] + first + a, start[i] + first + b + LENGTH - 1))
+
+        def in_chunks(groups: Iterator[list[tuple[int, int, int]]]) -> None:
             chunk, size = [], 0
-    if chunk:
-        solve(chunk)
-    if copies:
-        i = np.array(copies)
-        gone.append((did[i], tail[i], start[i], start[i] + windows[i] + LENGTH - 1))
-    if not gone:
-        return
-    did, tail, a, b = (np.concatenate(c) for c in zip(*gone, strict=True))
-    order = np.lexsort((a, tail, did))
-    did, tail, a, b = did[order], tail[order], a[order], b[order]
-    edges = np.concatenate(([0], np.flatnonzero((did[1:] != did[:-1]) | (tail[1:] != tail[:-1])) + 1, [len(a)]))
-    for k in range(0, len(edges) - 1, 4096):
-        e = edges[k : k + 4097]
-        blobs = [np.stack(unite(a[x:y], b[x:y])).tobytes() for x, y in zip(e[:-1], e[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(did[e[:-1]]), pa.array(tail[e[:-1]]), pa.array(blobs, pa.binary())], names=[DID, TAIL, "blob"])
+            for group in groups:
+                chunk += group
+                size += sum(w + LENGTH - 1 for _, _, w in group)
+                if size >= most:
+                    solve(chunk)
+                    chunk, size = [], 0
+            if chunk:
+                solve(chunk)
+
+        copies: list[int] = []
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(h[order])) + 1, [len(order)]))
+
+        def distinct() -> Iterator[list[tuple[int, int, int]]]:
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                seen: set[bytes] = set()
+                group = []
+                for i in order[a:b].tolist():
+                    if texts[i] in seen:
+                        copies.append(i)
+                    else:
+                        seen.add(texts[i])
+                        group.append((i, 0, int(windows[i])))
+                if len(group) * 2 * LENGTH <= most:
+                    yield group
+                    continue
+                by_side: dict[bytes, list[tuple[int, int, int]]] = {}
+                for i, _, w in group:
+                    anchor = int(window_minima(gram_hashes(np.frombuffer(texts[i][:LENGTH], np.uint8)), LENGTH - GRAM + 1)[0])
+                    for side, first, n in halves(texts[i], anchor, 0, w):
+                        by_side.setdefault(side, []).append((i, first, n))
+                yield from by_side.values()
+
+        in_chunks(distinct())
+        if copies:
+            i = np.array(copies)
+            gone.append((did[i], tail[i], start[i], start[i] + windows[i] + LENGTH - 1))
+        if gone:
+            did, tail, a, b = (np.concatenate(c) for c in zip(*gone, strict=True))
+            yield _rows(_packed(did, tail, [a, b], bundles), "bundle int, n int, blob binary")
+
+    return run
 
 
 def unite(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -420,80 +515,92 @@ def unite(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---- the operator ---------------------------------------------------------------
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """docs with, beside their columns: removed ranges (BLOBS) and whether the text is a copy (COPY).
+def marked(docs: DataFrame, finish: Callable[[pa.Table, list[tuple[np.ndarray, np.ndarray]]], pa.Table], schema, chunk: int, flush: int) -> DataFrame:
+    """finish(columns of a bundle of docs, (starts, ends) of what goes from each text) for all documents.
 
-    The documents are dealt by (id, tail) once; both joins read that exchange.
+    The documents are dealt by bundle once; both passes over their texts read that exchange.
     """
-    parts = max(LEAST_PARTS, shuffle_parts(docs.sparkSession))
-    keyed = docs.withColumn(DID, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(TAIL, F.xxhash64(text_key()))
-    low = F.min(F.struct(F.col(DID).alias("did"), F.col(TAIL).alias("tail"))).alias("low")
-    firsts = keyed.groupBy(text_key().alias("tkey")).agg(low).select(F.col("low.did").alias(DID), F.col("low.tail").alias(TAIL), F.lit(True).alias(FIRST))
-    anchors = keyed.select(DID, TAIL, "text").filter(F.octet_length("text") >= LENGTH).mapInArrow(thrifty(_anchors(parts)), "part int, n int, blob binary").repartition(parts, "part")
-    again = anchors.mapInArrow(thrifty(_repeated), f"{DID} long, {TAIL} long, blob binary").groupBy(DID, TAIL).agg(F.collect_list("blob").alias(BLOBS))
-    dealt = keyed.repartition(parts, DID, TAIL)
-    found = dealt.join(again, [DID, TAIL]).mapInArrow(thrifty(_strand_bytes(parts)), "part int, n int, blob binary, strands binary").repartition(parts, "part")
-    spans = found.mapInArrow(thrifty(_removals), f"{DID} long, {TAIL} long, blob binary").groupBy(DID, TAIL).agg(F.collect_list("blob").alias(BLOBS))
-    return dealt.join(firsts, [DID, TAIL], "left").join(spans, [DID, TAIL], "left").withColumn(COPY, F.col(FIRST).isNull()).drop(DID, TAIL, FIRST)
-
-
-def _cut_out(text: bytes, blobs: list[bytes] | None, copy: bool) -> tuple[np.ndarray, np.ndarray]:
-    if copy:
-        return (np.zeros(1, np.int64), np.array([len(text)])) if len(text) >= LENGTH else (np.zeros(0, np.int64),) * 2
-    if not blobs:
-        return (np.zeros(0, np.int64),) * 2
-    ranges = np.concatenate([np.frombuffer(b, np.int64).reshape(2, -1) for b in blobs], axis=1)
-    return unite(ranges[0], ranges[1])
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
+    parts, names = shuffle_parts(docs.sparkSession), docs.columns
+    bundles = BUNDLES * parts
+    did, tail, bundle = fresh(docs, "did", "tail", "bundle")
+    number = lambda d, t: F.pmod(F.col(d).bitwiseXOR(F.col(t)), F.lit(bundles)).cast("int")
+    keyed = docs.withColumn(did, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(tail, F.xxhash64(text_key())).withColumn(bundle, number(did, tail))
+    source = keyed.select(F.col(did).alias("did"), F.col(tail).alias("tail"), "text")
+    anchors = source.filter(F.octet_length("text") >= LENGTH).mapInArrow(thrifty(_anchors(parts, bundles, flush)), DEALT)
+    packed = "bundle int, n int, blob binary"
+    places = anchors.repartitionById(parts, "part").mapInArrow(thrifty(_repeated(bundles)), packed)
+    found = keyed.groupBy(bundle).cogroup(places.groupBy("bundle")).applyInArrow(_strand_bytes(parts, bundles, did, tail), DEALT + ", strands binary")
+    ranges = found.repartitionById(parts, "part").mapInArrow(thrifty(_removals(bundles, chunk)), packed)
+    # the first document of each text
+    low = F.min(F.struct(F.col("did"), F.col("tail"))).alias("low")
+    firsts = source.groupBy(text_key().alias("tkey")).agg(low).select("low.did", "low.tail").select(number("did", "tail").alias("bundle"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("blob"), "did", "tail")
+    facts = ranges.withColumns({"did": F.lit(None).cast("long"), "tail": F.lit(None).cast("long")}).union(firsts)
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        d, t, a, b = _unpacked(right, RANGES)
+        order = np.lexsort((a, t, d))
+        d, t, a, b = d[order], t[order], a[order], b[order]
+        at, nothing = _slices(d, t), np.zeros(0, np.int64)
+        first = {(x, y) for x, y in zip(right["did"].to_pylist(), right["tail"].to_pylist(), strict=True) if x is not None}
+        gone = []
+        for key, n in zip(zip(left[did].to_pylist(), left[tail].to_pylist(), strict=True), pc.binary_length(left["text"]).to_pylist(), strict=True):
+            if key not in first:  # a copy
+                gone.append((np.zeros(1, np.int64), np.array([n])) if (n or 0) >= LENGTH else (nothing, nothing))
+            else:
+                gone.append(unite(a[at[key]], b[at[key]]) if key in at else (nothing, nothing))
+        out = finish(left.select(names), gone)
+        release_memory()
+        return out
+
+    return keyed.groupBy(bundle).cogroup(facts.groupBy("bundle")).applyInArrow(judge, schema)
+
+
+def remove_repeats(docs: DataFrame, chunk: int = CHUNK, flush: int = FLUSH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of every row."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, gone, count, digest, out = [], [], [], [], []
-            for text, blobs, copy in zip(batch["text"].to_pylist(), batch[BLOBS].to_pylist(), batch[COPY].to_pylist(), strict=True):
-                raw = (text or "").encode()
-                a, b = _cut_out(raw, blobs, copy)
-                kept, at = hashlib.sha256(), 0
-                for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                    kept.update(raw[at:x])
-                    at = y
-                kept.update(raw[at:])
-                n.append(len(raw))
-                gone.append(int((b - a).sum()))
-                count.append(len(a))
-                digest.append(kept.hexdigest())
-                out.append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-    return marked(docs.select("doc_id", "text")).mapInArrow(thrifty(run), RESULT)
-
-
-def drop_repeats(docs: DataFrame) -> DataFrame:
+
+    def finish(left: pa.Table, ranges: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        n, gone, count, digest, out = [], [], [], [], []
+        for text, (a, b) in zip(left["text"].to_pylist(), ranges, strict=True):
+            raw = (text or "").encode()
+            kept, at = hashlib.sha256(), 0
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                kept.update(raw[at:x])
+                at = y
+            kept.update(raw[at:])
+            n.append(len(raw))
+            gone.append(int((b - a).sum()))
+            count.append(len(a))
+            digest.append(kept.hexdigest())
+            out.append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        columns = [left["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+        return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    return marked(docs.select("doc_id", "text"), finish, RESULT, chunk, flush)
+
+
+def drop_repeats(docs: DataFrame, chunk: int = CHUNK, flush: int = FLUSH) -> DataFrame:
     """docs with repeated passages cut from their texts, in whole characters; a text of which nothing is left goes."""
     schema = docs.schema
     counts = "n_chars" in schema.names
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keep = [], []
-            for text, blobs, copy in zip(batch["text"].to_pylist(), batch[BLOBS].to_pylist(), batch[COPY].to_pylist(), strict=True):
-                raw = np.frombuffer((text or "").encode(), np.uint8)
-                a, b = _cut_out(raw, blobs, copy)
-                if len(a):
-                    gone = np.zeros(len(raw) + 1, np.int8)
-                    gone[a] += 1
-                    gone[b] -= 1
-                    left = np.cumsum(gone[:-1]) == 0
-                    head = np.flatnonzero(raw & 0xC0 != 0x80)  # a character with a byte removed goes whole
-                    whole = np.logical_and.reduceat(left, head)
-                    text = raw[np.repeat(whole, np.diff(np.concatenate((head, [len(raw)]))))].tobytes().decode()
-                texts.append(text)
-                keep.append(not len(a) or bool(text))
-            columns = {f.name: batch[f.name] for f in schema}
-            columns["text"] = pa.array(texts, batch["text"].type)
-            if counts:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(keep, pa.bool_()))
-
-    return marked(docs).select(*schema.names, BLOBS, COPY).mapInArrow(thrifty(run), schema)
+    def finish(left: pa.Table, ranges: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        texts, keep = [], []
+        for text, (a, b) in zip(left["text"].to_pylist(), ranges, strict=True):
+            if len(a):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                gone = np.zeros(len(raw) + 1, np.int8)
+                gone[a] += 1
+                gone[b] -= 1
+                stays = np.cumsum(gone[:-1]) == 0
+                head = np.flatnonzero(raw & 0xC0 != 0x80)  # a character with a byte removed goes whole
+                whole = np.logical_and.reduceat(stays, head)
+                text = raw[np.repeat(whole, np.diff(np.concatenate((head, [len(raw)]))))].tobytes().decode()
+            texts.append(text)
+            keep.append(not len(a) or bool(text))
+        columns = {name: left[name] for name in schema.names}
+        columns["text"] = pa.array(texts, left["text"].type)
+        if counts:
+            columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(left["n_chars"].type)
+        return pa.table(columns).filter(pa.array(keep, pa.bool_()))
+
+    return marked(docs, finish, schema, chunk, flush)

@@ -24,9 +24,9 @@ def brute(rows, length=substrings.LENGTH):
     return out
 
 
-def compare(df):
+def compare(df, **options):
     want = brute([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
-    got = substrings.remove_repeats(df).collect()
+    got = substrings.remove_repeats(df, **options).collect()
     assert len(got) == df.count()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((str(r.doc_id), *want[r.doc_id, r.text or ""]) for r in df.collect())
 
@@ -69,3 +69,31 @@ def test_filter_cuts_whole_characters(odd):
     assert kept.columns == odd.columns
     texts = {r.doc_id: r.text for r in kept.collect()}
     assert 6 not in texts and texts[2] is None and texts[8] == " tail" or "common59 tail" in texts[8]
+
+
+def test_passage_in_most_documents(spark):
+    """A hot passage, in equal and in differing surroundings: small flushes and transforms, few and many partitions."""
+    rng = random.Random(7)
+    passage = " ".join(f"licence{i}" for i in range(30))
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(k, own(rng.randrange(0, 200)) + passage + own(rng.randrange(0, 200))) for k in range(150)]
+    rows += [(1000 + k, "same start of the footer, " * 2 + passage) for k in range(40)] + [(7, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    compare(df, chunk=2000, flush=500)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        compare(df)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_halves_cover_all_windows():
+    rng = random.Random(2)
+    for _ in range(200):
+        w = rng.randrange(1, substrings.LENGTH - substrings.GRAM + 2)
+        anchor = rng.randrange(w - 1, substrings.LENGTH - substrings.GRAM + 1)
+        text = bytes(rng.randrange(256) for _ in range(w + substrings.LENGTH - 1))
+        got = substrings.halves(text, anchor, 0, w)
+        assert sorted(k for _, a, n in got for k in range(a, a + n)) == list(range(w))
+        assert all(side in text[k : k + substrings.LENGTH] and len(side) == substrings.SIDE for side, a, n in got for k in range(a, a + n))
