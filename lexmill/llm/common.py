@@ -3,39 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, fresh  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Honour the folder the cluster names in spark.checkpoint.dir.
-
-    Only where neither the setting nor the context has one (tests, a local
-    session) is a folder of our own chosen, and then only in local mode.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not context.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexmill-checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder: lost executors then cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -45,17 +24,6 @@ def text_key(text="text"):
     return F.unhex(F.substring(F.sha2(F.col(text).cast("binary"), 256), 1, 32))
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The names, each with underscores added until df has no such column (case does not count)."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def release_memory() -> None:
     """Give freed memory back to the system: Python workers are reused from stage to stage."""
     import pyarrow as pa

@@ -46,12 +46,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BASE_A, BASE_B, MIX_1, U64, buffers, mix, pieces, span_hashes, words
-from .common import cut, fresh, text_key, thrifty
+from .common import cut, fresh, release_memory, text_key, thrifty
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 7  # a pair at the threshold shares a band with probability 0.997
-BLOCK, BLOCK_BYTES = 200, 4 << 20
+BLOCK, BLOCK_BYTES = 200, 1 << 20
 NO_ID = -(1 << 63)
 PIECE = 1 << 20
 
@@ -234,11 +234,12 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, {}
         for batch in batches:
-            own, heart_texts, ok = _weights(batch["text"]), batch["heart"].to_pylist(), []
-            for weights, text in zip(own, heart_texts, strict=True):
-                if text != last:
-                    last, known = text, _weights(pa.array([text], pa.string()))[0]
-                ok.append(similarity(weights, known) >= threshold)
+            ok = []
+            for i, j in pieces(buffers(batch["text"])[1], BLOCK_BYTES):  # weights take far more room than text
+                for weights, text in zip(_weights(batch["text"].slice(i, j - i)), batch["heart"].slice(i, j - i).to_pylist(), strict=True):
+                    if text != last:
+                        last, known = text, _weights(pa.array([text], pa.string()))[0]
+                    ok.append(similarity(weights, known) >= threshold)
             yield pa.RecordBatch.from_arrays([batch["nid"], batch["label"], batch["centre"], batch["bytes"], pa.array(ok, pa.bool_())], names=["nid", "label", "centre", "bytes", "settled"])
 
     judged = cut(texts.join(heart, "label").mapInArrow(thrifty(compare), "nid long, label long, centre long, bytes long, settled boolean"))
@@ -280,6 +281,8 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
         weights = _weights(table["text"].combine_chunks())
         nid = table["nid"].to_numpy()
         found = links(weights, ~np.asarray(table["settled"].to_numpy(), bool), table["side"].to_numpy(), threshold)
+        del weights
+        release_memory()
         return pa.table([pa.array([nid[i] for i, _ in found], pa.int64()), pa.array([nid[j] for _, j in found], pa.int64())], names=["x", "y"])
 
     linked = cut(work.join(texts.select("nid", "text"), "nid").groupBy("by", "unit", "a", "b").applyInArrow(block_links, "x long, y long"))
