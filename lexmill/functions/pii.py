@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import count_of, let
+
 #: Fixed values: (placeholder, pattern) of the combined masker, in the order in which they apply.
 MASKS = [
     ("<EMAIL>", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
@@ -41,7 +43,11 @@ def mask_ips(text: Column) -> Column:
     return _counted(text, IPS)
 
 
+def masks_made(text: Column, masked: Column) -> Column:
+    """Replacements that mask_pii made, counted by the placeholders that it added."""
+    return sum(count_of(masked, p) - count_of(text, p) for p, _ in MASKS).cast("long")
+
+
 def pii_counts(text: Column) -> Column:
-    """Replacements made by mask_pii, counted by the placeholders that it adds."""
-    masked = mask_pii(text)
-    return sum(F.regexp_count(masked, F.lit(p)) - F.regexp_count(text, F.lit(p)) for p, _ in MASKS).cast("long")
+    """Replacements made by mask_pii."""
+    return let(text, lambda t: let(mask_pii(t), lambda m: masks_made(t, m)))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WHITE, count_of, strip, words
+from .text import WHITE, count_of, let, strip, words
 
 #: Keywords that are looked for anywhere in the lower-cased text.
 NSFW_PKG = ["porn", "xxx", "adult", "explicit", "nude"]
@@ -27,13 +27,11 @@ LEAST_ALPHABETIC, MOST_ELLIPSIS_LINES = 0.8, 0.3
 
 
 def _any(text: Column, keys: list[str]) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(k)) for k in keys))
+    return let(F.lower(text), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(k)) for k in keys)))
 
 
 def _hits(text: Column, keys: list[str]) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a + b, (F.contains(low, F.lit(k)).cast("int") for k in keys))
+    return let(F.lower(text), lambda low: reduce(lambda a, b: a + b, (F.contains(low, F.lit(k)).cast("int") for k in keys)))
 
 
 def nsfw_pkg(text: Column) -> Column:
@@ -49,44 +47,46 @@ def toxic_pkg(text: Column) -> Column:
 
 
 def toxic_strict(text: Column) -> Column:
-    hits = _hits(text, TOXIC_STRICT)
-    return F.struct(F.when(hits >= 2, "toxic").otherwise("non-toxic").alias("label"), F.when(hits >= 2, hits.cast("double")).otherwise(1.0).alias("score"))
+    return let(_hits(text, TOXIC_STRICT), lambda hits: F.struct(F.when(hits >= 2, "toxic").otherwise("non-toxic").alias("label"), F.when(hits >= 2, hits.cast("double")).otherwise(1.0).alias("score")))
 
 
 def quality_class(text: Column) -> Column:
-    lines = F.split(strip(text), "\n", -1)
-    short = F.size(F.filter(lines, lambda line: F.size(words(line)).between(1, 3)))
-    menu = (F.size(lines) > 5) & (short / F.size(lines) > 0.5)
-    signals = 2 * (F.size(words(text)) < 100).cast("int") + reduce(lambda a, b: a + b, (text.rlike(f"(?iu){p}").cast("int") for p in BOILERPLATE)) + 2 * menu.cast("int")
-    return F.struct(F.when(signals >= 3, "cc").otherwise("wiki").alias("label"), F.when(signals >= 3, signals.cast("double")).otherwise(1.0 / F.greatest(F.lit(1), signals + 1)).alias("score"))
-
-
-def _shape(text: Column) -> tuple[Column, Column]:
-    ws = words(text)
-    return F.size(ws), F.aggregate(ws, F.lit(0), lambda s, w: s + F.length(w))
-
-
-def _common(text: Column) -> Column:
-    n, letters = _shape(text)
-    mean = F.try_divide(letters, n)
+    few = lambda t: F.size(words(t)) < 100
+    # a search for the bare words comes before each pattern; the long s counts as an s when case does not
+    hit = lambda t, low, p: (F.contains(low, F.lit(p.replace(r"\b", "").lower())) & t.rlike(f"(?iu){p}")).cast("int")
+    boilerplate = lambda t: let(F.lower(F.replace(t, F.lit("ſ"), F.lit("s"))), lambda low: reduce(lambda a, b: a + b, (hit(t, low, p) for p in BOILERPLATE)))
+    # a menu has mostly lines of one to three words; of six lines or fewer none is looked at
+    short = lambda lines: F.size(F.filter(lines, lambda line: F.size(words(line)).between(1, 3)))
+    menu = lambda t: let(F.split(strip(t), "\n", -1), lambda lines: F.when(F.size(lines) > 5, short(lines) / F.size(lines) > 0.5).otherwise(False))
+    signals = let(text, lambda t: 2 * few(t).cast("int") + boilerplate(t) + 2 * menu(t).cast("int"))
+    return let(signals, lambda s: F.struct(F.when(s >= 3, "cc").otherwise("wiki").alias("label"), F.when(s >= 3, s.cast("double")).otherwise(1.0 / F.greatest(F.lit(1), s + 1)).alias("score")))
+
+
+def _common(ws: Column) -> Column:
+    n = F.size(ws)
+    mean = F.try_divide(F.aggregate(ws, F.lit(0), lambda s, w: s + F.length(w)), n)
     return n.between(LEAST_WORDS, MOST_WORDS) & mean.between(LEAST_MEAN, MOST_MEAN)
 
 
 def gopher_pkg(text: Column) -> Column:
-    n, _ = _shape(text)
-    share = lambda count: F.coalesce(F.try_divide(count, n), F.lit(0.0))
-    symbols = F.length(text) - F.length(F.translate(text, "#$%&*@", ""))
-    bullets = F.length(text) - F.length(F.translate(text, "•-*", ""))
-    return F.coalesce(_common(text) & (share(symbols) <= MOST_SYMBOLS) & (share(bullets) <= MOST_BULLETS) & (share(count_of(text, "...")) <= MOST_ELLIPSES), F.lit(False))
+    def kept(t: Column, ws: Column) -> Column:
+        share = lambda count: F.coalesce(F.try_divide(count, F.size(ws)), F.lit(0.0))
+        symbols = F.length(t) - F.length(F.translate(t, "#$%&*@", ""))
+        bullets = F.length(t) - F.length(F.translate(t, "•-*", ""))
+        return _common(ws) & (share(symbols) <= MOST_SYMBOLS) & (share(bullets) <= MOST_BULLETS) & (share(count_of(t, "...")) <= MOST_ELLIPSES)
+
+    return F.coalesce(let(text, lambda t: let(words(t), lambda ws: kept(t, ws))), F.lit(False))
 
 
 def gopher_strict(text: Column) -> Column:
-    ws, lines = words(text), F.split(text, "\n", -1)
-    alphabetic = F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}")))
-    trailing = F.size(F.filter(lines, lambda x: F.regexp_replace(x, WHITE + r"+\z", "").endswith("...")))
-    return F.coalesce(_common(text) & (F.try_divide(alphabetic, F.size(ws)) >= LEAST_ALPHABETIC) & (trailing / F.size(lines) <= MOST_ELLIPSIS_LINES), F.lit(False))
+    def kept(ws: Column, lines: Column) -> Column:
+        alphabetic = F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}")))
+        trailing = F.size(F.filter(lines, lambda x: F.regexp_replace(x, WHITE + r"+\z", "").endswith("...")))
+        return _common(ws) & (F.try_divide(alphabetic, F.size(ws)) >= LEAST_ALPHABETIC) & (trailing / F.size(lines) <= MOST_ELLIPSIS_LINES)
+
+    return F.coalesce(let(text, lambda t: let(words(t), lambda ws: let(F.split(t, "\n", -1), lambda lines: kept(ws, lines)))), F.lit(False))
 
 
 def reject_reason(text: Column) -> Column:
     """The first filter that rejects a text; null if none does."""
-    return F.when(nsfw_pkg(text), "nsfw").when(toxic_pkg(text), "toxicity").when(~gopher_pkg(text), "gopher")
+    return let(text, lambda t: F.when(nsfw_pkg(t), "nsfw").when(toxic_pkg(t), "toxicity").when(~gopher_pkg(t), "gopher"))

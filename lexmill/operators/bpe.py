@@ -5,15 +5,16 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import END_OF_TEXT, PATTERN, pretoken_counts
+from ..session import cut
 
 MAX_WORDS = 20_000_000  # distinct pre-tokens that training holds on the driver
 
@@ -103,70 +104,82 @@ def printable_bytes() -> dict[int, str]:
 def train_from_counts(counts: Iterable[tuple[str, int]], vocab_size: int, special: Iterable[str] = ()) -> Tokenizer:
     """Merge the most frequent neighbouring pair, of equals the greatest by bytes, until the vocabulary is full.
 
-    Pair counts are kept current from the words that hold the merged pair; stale
-    entries of the queue are skipped as they surface.
+    All words lie in one array of tokens, a separator behind each; a merge is a few
+    array operations, and pair counts change only around the merged places. Counts in
+    the queue that are out of date are skipped as they surface.
     """
     special = list(special)
     vocab = {b: bytes([b]) for b in range(256)}
-    words, weight = [], []
+    words, ns = [], []
     for word, n in counts:
-        words.append(list(word.encode()))
-        weight.append(n)
-    tally: Counter = Counter()
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, w in enumerate(words):
-        for p in zip(w, w[1:], strict=False):
-            tally[p] += weight[k]
-            where[p].add(k)
+        words.append(word.encode())
+        ns.append(n)
+    token = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int32)
+    size = np.array([len(w) + 1 for w in words], np.int64)
+    token[np.cumsum(size) - 1] = -1
+    weight = np.repeat(np.array(ns, np.int64), size)
+    tally: dict[int, int] = {}
+
+    def pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, summed weight) of the pairs that begin at some places; a pair is left << 32 | right."""
+        at = at[(at >= 0) & (at < len(token) - 1)]
+        at = at[(token[at] >= 0) & (token[at + 1] >= 0)]
+        names, inverse = np.unique((token[at].astype(np.int64) << 32) | token[at + 1], return_inverse=True)
+        total = np.zeros(len(names), np.int64)
+        np.add.at(total, inverse, weight[at])
+        return names, total
+
     falling = lambda b: (*(255 - x for x in b), 256)  # noqa: E731  greater bytes sort first
-    entry = lambda p: (-tally[p], falling(vocab[p[0]]), falling(vocab[p[1]]), p)
+    entry = lambda p: (-tally[p], falling(vocab[p >> 32]), falling(vocab[p & 0xFFFFFFFF]), p)
+    for p, n in zip(*(x.tolist() for x in pairs(np.arange(len(token)))), strict=True):
+        tally[p] = n
     queue = [entry(p) for p in tally]
     heapq.heapify(queue)
     merges: list[tuple[bytes, bytes]] = []
     while queue and len(vocab) < vocab_size - len(special):
         n, _, _, pair = heapq.heappop(queue)
-        if -n != tally[pair] or n == 0:
+        if -n != tally.get(pair, 0) or n == 0:
             continue
-        new = len(vocab)
-        vocab[new] = vocab[pair[0]] + vocab[pair[1]]
-        merges.append((vocab[pair[0]], vocab[pair[1]]))
-        touched: set[tuple[int, int]] = set()
-        for k in where.pop(pair):
-            old, out, i = words[k], [], 0
-            while i < len(old):
-                if i + 1 < len(old) and (old[i], old[i + 1]) == pair:
-                    out.append(new)
-                    i += 2
+        left, right, new = pair >> 32, pair & 0xFFFFFFFF, len(vocab)
+        vocab[new] = vocab[left] + vocab[right]
+        merges.append((vocab[left], vocab[right]))
+        hit = np.flatnonzero(token[:-1] == left)
+        hit = hit[token[hit + 1] == right]
+        if left == right and len(hit):  # of a run of places that overlap every second one, from the left
+            fresh = np.concatenate(([True], np.diff(hit) > 1))
+            run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+        change: dict[int, int] = {}
+        around = np.unique(np.concatenate((hit - 1, hit, hit + 1)))
+        for p, k in zip(*(x.tolist() for x in pairs(around)), strict=True):
+            change[p] = -k
+        token[hit] = new
+        stay = np.ones(len(token), bool)
+        stay[hit + 1] = False
+        token, weight = token[stay], weight[stay]
+        at = hit - np.arange(len(hit))
+        for p, k in zip(*(x.tolist() for x in pairs(np.unique(np.concatenate((at - 1, at))))), strict=True):
+            change[p] = change.get(p, 0) + k
+        for p, k in change.items():
+            if k:
+                tally[p] = tally.get(p, 0) + k
+                if tally[p] > 0:
+                    heapq.heappush(queue, entry(p))
                 else:
-                    out.append(old[i])
-                    i += 1
-            if len(out) == len(old):
-                continue
-            change = Counter(zip(out, out[1:], strict=False))
-            change.subtract(Counter(zip(old, old[1:], strict=False)))
-            for p, d in change.items():
-                if d:
-                    tally[p] += d * weight[k]
-                    touched.add(p)
-            for p in zip(out, out[1:], strict=False):
-                where[p].add(k)
-            words[k] = out
-        tally.pop(pair, None)
-        for p in touched - {pair}:
-            if tally[p] > 0:
-                heapq.heappush(queue, entry(p))
+                    del tally[p]
     return Tokenizer(vocab | {len(vocab) + k: s.encode() for k, s in enumerate(special)}, merges, special)
 
 
 def train(docs: DataFrame, vocab_size: int, special: Iterable[str] = (END_OF_TEXT,), max_words: int = MAX_WORDS) -> Tokenizer:
-    """Spark counts pre-tokens; the merge loop runs on the driver over the distinct ones."""
-    counts = pretoken_counts(docs)
-    rows = []
-    for tok, n in counts.toLocalIterator():
-        rows.append((tok, n))
-        if len(rows) > max_words:
-            raise ValueError(f"more than {max_words} distinct pre-tokens; raise max_words or train on fewer documents")
-    return train_from_counts(sorted(rows), vocab_size, special)
+    """Spark counts pre-tokens; the merge loop runs on the driver over the distinct ones.
+
+    A corpus with more than `max_words` distinct pre-tokens is refused: it does not fit there.
+    """
+    counts = cut(pretoken_counts(docs).filter(F.octet_length("tok") > 1))  # one byte has no pair
+    if counts.count() > max_words:
+        raise ValueError(f"more than {max_words} distinct pre-tokens; raise max_words or train on fewer documents")
+    rows = counts.toArrow()
+    return train_from_counts(sorted(zip(rows["tok"].to_pylist(), rows["n"].to_pylist(), strict=True)), vocab_size, special)
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:

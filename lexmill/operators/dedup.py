@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The first document (by doc_id) of each distinct text.
+def exact_dedup(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+    """The first row (by doc_id, null last) of each distinct text, or of each distinct digest.
 
-    Only (digest, id) are aggregated, partially before the shuffle, so a text that
-    a third of all rows share is no hot key; the rows then come back by a semi-join.
+    One scan and one shuffle: the row of the least id is an aggregate, partial before
+    the shuffle, so a text that a third of all rows share is no hot key. Of equal ids
+    the row with the least hash stays; a null text is a text of its own.
     """
-    firsts = docs.groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    return docs.join(firsts, "doc_id", "left_semi")
+    digest = F.md5(F.col("text").cast("binary")) if digest is None else digest
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*docs.columns))
+    return docs.groupBy(digest).agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
 
 
 def line_counts(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..session import cut
+from .dedup import exact_dedup
 
 PRIME = 2147483647
 
@@ -79,8 +80,7 @@ def greedy_drop(pairs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, num_perm: int, bands: int, rows: int, k: int, short: bool = True, verify: float | None = None) -> DataFrame:
     """doc_id of kept documents. Equal texts are resolved before anything is compared."""
-    ids = docs.groupBy(F.md5(F.col("text").cast("binary"))).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    firsts = cut(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+    firsts = cut(exact_dedup(docs.select("doc_id", "text")))
     pairs = candidates(signatures(firsts, num_perm, k, short), bands, rows)
     if verify is not None:
         sets = shingled(firsts, k, short)

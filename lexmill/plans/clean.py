@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pii import mask_pii, pii_counts
+from ..functions.pii import mask_pii, masks_made
 from ..functions.quality import reject_reason
-from ..functions.text import html_to_text, script_language
+from ..functions.text import html_to_text, let, script_language
 from ..operators.dedup import exact_dedup
 from ..operators.minhash import keep_first
-from ..session import cut
+from ..session import cut, fresh
 
 STEPS = ("extract", "lang", "pii", "quality", "dedup")
 LEAST_CHARS = 100
@@ -29,8 +29,24 @@ def in_language(docs: DataFrame, lang: str = "en") -> DataFrame:
     return docs.withColumn("language", script_language(F.col("text"))).filter(F.col("language") == lang)
 
 
+def _judged(docs: DataFrame, pii: bool, quality: bool) -> DataFrame:
+    """docs with the mask applied and rejected rows gone, as wanted.
+
+    The mask, its count and the verdict on the masked text come from one expression behind a
+    generator: a filter is not moved below it, so the mask is evaluated once a row.
+    """
+    def facts(t: Column) -> Column:
+        masked = mask_pii(t) if pii else t
+        return let(masked, lambda m: F.struct(m.alias("text"), (masks_made(t, m) if pii else F.lit(0).cast("long")).alias("pii_count"), (reject_reason(m) if quality else F.lit(None).cast("string")).alias("reason")))
+
+    (name,) = fresh(docs, "judged")
+    one = docs.withColumn(name, F.explode(F.array(let(F.col("text"), facts))))
+    new = {"text": F.col(f"{name}.text")} | ({"pii_count": F.col(f"{name}.pii_count")} if pii else {})
+    return one.filter(F.col(f"{name}.reason").isNull()).withColumns(new).drop(name)
+
+
 def without_pii(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"pii_count": pii_counts(F.col("text")), "text": mask_pii(F.col("text"))})
+    return _judged(docs, pii=True, quality=False)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
@@ -46,8 +62,8 @@ def run(docs: DataFrame, steps: tuple[str, ...] = STEPS, near: bool = False) ->
     if "lang" in steps:
         docs = in_language(docs)
     if "pii" in steps:
-        docs = without_pii(docs)
-    if "quality" in steps:
+        docs = _judged(docs, pii=True, quality="quality" in steps)
+    elif "quality" in steps:
         docs = accepted(docs)
     if "dedup" in steps:
         docs = exact_dedup(docs)

@@ -7,6 +7,7 @@ thresholds are shared, so that the two check each other.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -209,7 +210,7 @@ QUERIES["text_stats"], SQL["text_stats"] = QUERIES.pop("text_stats_query"), SQL.
 
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents GROUP BY md5(text)")
 def exact_dedup(spark, sf_dir):
-    return dedup.exact_dedup(_docs(spark, sf_dir)).select("doc_id", F.md5(_text().cast("binary")).alias("h"))
+    return dedup.exact_dedup(_docs(spark, sf_dir).select("doc_id", F.md5(_text().cast("binary")).alias("h")), F.col("h"))
 
 
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
@@ -262,7 +263,7 @@ def _pairs_sql(n: int, bands: int, rows: int, k: int, short: bool, source: str)
 
 
 def _distinct_docs(spark, sf_dir):
-    return dedup.exact_dedup(_docs(spark, sf_dir))
+    return dedup.exact_dedup(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
 @query(_pairs_sql(PERM, BANDS, ROWS, 5, True, _FIRSTS))
@@ -330,6 +331,16 @@ def best_pair_query(spark, sf_dir):
 QUERIES["best_pair"], SQL["best_pair"] = QUERIES.pop("best_pair_query"), SQL.pop("best_pair_query")
 
 
+@lru_cache(maxsize=8)
+def _trained_once(application: str, sf_dir: str) -> bpe.Tokenizer:
+    return bpe.train(_docs(SparkSession.active(), sf_dir), VOCAB)
+
+
+def _tokenizer(spark, sf_dir) -> bpe.Tokenizer:
+    """Trained once in a session for each folder of tables; only bpe_train itself trains anew."""
+    return _trained_once(spark.sparkContext.applicationId, sf_dir)
+
+
 @query()
 def bpe_train(spark, sf_dir):
     merges = bpe.train(_docs(spark, sf_dir), VOCAB).merges
@@ -338,34 +349,31 @@ def bpe_train(spark, sf_dir):
 
 @query()
 def vocab(spark, sf_dir):
-    return spark.createDataFrame([(i, b.hex()) for i, b in sorted(bpe.train(_docs(spark, sf_dir), VOCAB).vocab.items())], "token_id int, token string")
+    return spark.createDataFrame([(i, b.hex()) for i, b in sorted(_tokenizer(spark, sf_dir).vocab.items())], "token_id int, token string")
 
 
 @query()
 def encode(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return bpe.encode(docs, bpe.train(docs, VOCAB))
+    return bpe.encode(_docs(spark, sf_dir), _tokenizer(spark, sf_dir))
 
 
 @query("SELECT doc_id, text FROM documents")
 def roundtrip(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    tokenizer = bpe.train(docs, VOCAB)
-    return bpe.decode(bpe.encode(docs, tokenizer), tokenizer)
+    tokenizer = _tokenizer(spark, sf_dir)
+    return bpe.decode(bpe.encode(_docs(spark, sf_dir), tokenizer), tokenizer)
 
 
 @query("SELECT doc_id, text FROM documents")
 def tokenizer_roundtrip(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    tokenizer = bpe.Tokenizer.from_json(bpe.train(docs, VOCAB).to_json())
-    return bpe.decode(bpe.encode(docs, tokenizer), tokenizer)
+    tokenizer = bpe.Tokenizer.from_json(_tokenizer(spark, sf_dir).to_json())
+    return bpe.decode(bpe.encode(_docs(spark, sf_dir), tokenizer), tokenizer)
 
 
 @query()
 def compression_ratio(spark, sf_dir):
     docs = _docs(spark, sf_dir).filter(F.trim("text") != "")
     sizes = docs.agg(F.sum(F.octet_length("text")).alias("n_bytes"))
-    ids = bpe.encode(docs, bpe.train(docs, VOCAB)).agg(F.sum(F.size("ids")).alias("n_tokens"))
+    ids = bpe.encode(docs, _tokenizer(spark, sf_dir)).agg(F.sum(F.size("ids")).alias("n_tokens"))
     return sizes.join(F.broadcast(ids), F.lit(True)).select("n_bytes", "n_tokens", F.round(F.col("n_bytes") / F.col("n_tokens"), 6).alias("ratio"))
 
 
@@ -610,7 +618,7 @@ def encode_stream(spark, sf_dir):
     from ..streaming import twins
 
     docs = _docs(spark, sf_dir)
-    tokenizer = bpe.train(docs, VOCAB)
+    tokenizer = _tokenizer(spark, sf_dir)
     base = os.path.join(ensure_checkpoint_dir(spark), f"encode-stream-{uuid.uuid4().hex}")
     source = twins.stream(spark, sf_dir, docs.schema, name="documents.parquet")
     twins.run_once(twins.encoded(source, tokenizer), f"{base}/out", f"{base}/checkpoint")
