@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WHITE, count_of, let, strip, words
+from .text import SOLID, WHITE, WHITE_CHARS, count_of, fewer_words, let, strip, words
 
 #: Keywords that are looked for anywhere in the lower-cased text.
 NSFW_PKG = ["porn", "xxx", "adult", "explicit", "nude"]
@@ -24,6 +24,7 @@ BOILERPLATE = [r"\bFAQ\b", r"\bSearch\b", r"\bRegister\b", r"\bLog in\b", r"\bMe
 LEAST_WORDS, MOST_WORDS, LEAST_MEAN, MOST_MEAN = 50, 100_000, 3, 10
 MOST_SYMBOLS, MOST_BULLETS, MOST_ELLIPSES = 0.1, 0.9, 0.3
 LEAST_ALPHABETIC, MOST_ELLIPSIS_LINES = 0.8, 0.3
+SHORT_LINE = rf"^{WHITE}*+{SOLID}++(?:{WHITE}++{SOLID}++){{0,2}}{WHITE}*+\z"  # one to three words
 
 
 def _any(text: Column, keys: list[str]) -> Column:
@@ -51,12 +52,12 @@ def toxic_strict(text: Column) -> Column:
 
 
 def quality_class(text: Column) -> Column:
-    few = lambda t: F.size(words(t)) < 100
+    few = lambda t: fewer_words(t, 100)
     # a search for the bare words comes before each pattern; the long s counts as an s when case does not
     hit = lambda t, low, p: (F.contains(low, F.lit(p.replace(r"\b", "").lower())) & t.rlike(f"(?iu){p}")).cast("int")
     boilerplate = lambda t: let(F.lower(F.replace(t, F.lit("ſ"), F.lit("s"))), lambda low: reduce(lambda a, b: a + b, (hit(t, low, p) for p in BOILERPLATE)))
     # a menu has mostly lines of one to three words; of six lines or fewer none is looked at
-    short = lambda lines: F.size(F.filter(lines, lambda line: F.size(words(line)).between(1, 3)))
+    short = lambda lines: F.size(F.filter(lines, lambda line: line.rlike(SHORT_LINE)))
     menu = lambda t: let(F.split(strip(t), "\n", -1), lambda lines: F.when(F.size(lines) > 5, short(lines) / F.size(lines) > 0.5).otherwise(False))
     signals = let(text, lambda t: 2 * few(t).cast("int") + boilerplate(t) + 2 * menu(t).cast("int"))
     return let(signals, lambda s: F.struct(F.when(s >= 3, "cc").otherwise("wiki").alias("label"), F.when(s >= 3, s.cast("double")).otherwise(1.0 / F.greatest(F.lit(1), s + 1)).alias("score")))
@@ -81,7 +82,7 @@ def gopher_pkg(text: Column) -> Column:
 def gopher_strict(text: Column) -> Column:
     def kept(ws: Column, lines: Column) -> Column:
         alphabetic = F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}")))
-        trailing = F.size(F.filter(lines, lambda x: F.regexp_replace(x, WHITE + r"+\z", "").endswith("...")))
+        trailing = F.size(F.filter(lines, lambda x: F.rtrim(x, F.lit(WHITE_CHARS)).endswith("...")))
         return _common(ws) & (F.try_divide(alphabetic, F.size(ws)) >= LEAST_ALPHABETIC) & (trailing / F.size(lines) <= MOST_ELLIPSIS_LINES)
 
     return F.coalesce(let(text, lambda t: let(words(t), lambda ws: let(F.split(t, "\n", -1), lambda lines: kept(ws, lines)))), F.lit(False))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 #: The code points that separate words (Unicode white space and the information separators).
 WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same code points as a string, and what is none of them.
+WHITE_CHARS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SOLID = WHITE.replace("[", "[^", 1)
 #: Script ranges in the order in which they decide.
 SCRIPTS = [("zh", r"[\x{4e00}-\x{9fff}]"), ("ja", r"[\x{3040}-\x{30ff}]"), ("ko", r"[\x{ac00}-\x{d7af}]")]
 #: Named references that are resolved; the ampersand comes last so that nothing is resolved twice.
@@ -25,8 +28,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WHITE + "+"), lambda w: w != "")
 
 
+def fewer_words(text: Column, n: int) -> Column:
+    """Whether a text has fewer than n words; reads no further than that."""
+    return F.size(F.filter(F.split(text, WHITE + "+", n + 2), lambda w: w != "")) < n
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+\z", "")
+    return F.btrim(text, F.lit(WHITE_CHARS))
 
 
 def count_of(text: Column, piece: str) -> Column:
