@@ -29,13 +29,16 @@ frame. A heading or label goes only with all that it heads.
 
 Entropy needs many pages of a host, and adverts that rotate are as varied as
 articles. Branches whose element names their role (navigation, header, footer,
-aside, form, advert, comment ...) are therefore cut in any case; and if a page
+aside, form, advert, comment ...) are therefore cut in any case, by tag, by a whole
+class name or by the end or start of a compound one; a main part inside a form or a
+named element is not cut with it, and compounds never leave a page empty. If a page
 marks its main part (article, main), text outside it is cut.
 
 Hashes of chains and texts go through the shuffle, once a distinct main text,
 then summed; a host's nodes, not its pages or rare texts, are judged in one task. The
-cut chains of a host come back to its pages by a join on the host and a salt, so
-a host with a third of all pages is spread.
+cut chains of all hosts are broadcast while their measured size allows it, so that no page
+is shuffled; beyond that pages and cut chains are joined on the host and a salt, which
+spreads a host with a third of all pages.
 
 Cases: null html counts as empty, null or broken urls share one host; equal
 pages get equal texts; unclosed and stray tags are tolerated; other columns are
@@ -55,13 +58,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import thrifty
+from .common import cut, thrifty
 
 DAMPING, THRESHOLD, LEAST = 0.9, 0.3, 8
 #: A text on this share of a node's pages is repeated; a host is judged if at least these shares of its text are not, inside a marked main part and on unmarked pages, the last for texts among the paragraphs of a main part, which have only their repetition against them.
 MOST, OWN_MARKED, OWN, OWN_AMONG = 0.8, 0.25, 0.1, 0.6
 TEXT, STYLE, EDGE = 1, 2, 3
 SALTS = 64
+BROADCAST_BYTES = 16 << 20  # of the cut lists of all hosts
 RESULT = "page_id long, url string, text string, n_chars long, n_blocks_cut long"
 
 #: Elements of HTML by role.
@@ -70,44 +74,104 @@ RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nofr
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "meter", "output", "q", "ruby", "rb", "rp", "rt", "rtc", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ROLE_TAGS = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "fieldset", "datalist", "input"}
 ROLE_NAMES = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "widget", "ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "search", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "reply", "replies", "respond", "pagination", "pager", "copyright", "legal", "toolbar", "skip"}
+#: Words that make a compound say something else (no-sidebar, layout-with-sidebar), and ends that keep what it begins with (nav-links).
+NOT_ROLE = {"no", "non", "not", "with", "without", "has", "is", "hide", "layout", "main", "article", "content", "post", "entry", "story"}
+CONTAINERS = {"area", "bar", "block", "bottom", "box", "buttons", "container", "inner", "item", "items", "left", "links", "list", "right", "section", "top", "widget", "wrap", "wrapper"}
+STRONG_TAGS = {"nav", "footer", "aside", "dialog", "menu", "head"}
 ROLE_ARIA = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 HEADS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6} | dict.fromkeys(("dt", "th", "caption", "legend", "summary"), 7)
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A block element ends an open paragraph; these bound how far an implied end reaches.
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "p": {"article", "section", "div", "td", "th", "li", "blockquote", "main", "body", "button"}, "option": {"select"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*>", re.S)
+#: The inside of a tag up to its ">", quoted values as one; nothing is tried twice.
+INSIDE = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+MARKS = {"class", "id", "role", "hidden", "aria-hidden", "style"}
 SPACE = re.compile(r"\s+")
 
 
+def _next_tag(page: str, at: int, last: int, broken: bool) -> tuple[int, int, bool]:
+    """(start, end, broken) of the next tag, comment or declaration from `at` on; start is the page's length if there is none.
+
+    last: where the page's last ">" is. A tag that the page breaks off ends with it. Once a
+    quotation has swallowed all the rest, quotes mean nothing any more (broken), so that no
+    stretch of text is searched more than a few times.
+    """
+    n = len(page)
+    while 0 <= (at := page.find("<", at)):
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return at, n if end < 0 else end + 3, broken
+        second = page[at + 1 : at + 2]
+        named = (second if second != "/" else page[at + 2 : at + 3]) or " "
+        if second in ("!", "?") or (named.isascii() and named.isalpha()):
+            if at > last:
+                return at, n, broken
+            if page.startswith("<![CDATA[", at) and (end := page.find("]]>", at)) >= 0:
+                return at, end + 3, broken
+            end = page.find(">", at)
+            if second not in ("!", "?") and not broken:
+                quoted = INSIDE.match(page, at + 1).end()
+                broken = quoted == n
+                end = end if broken else quoted
+            return at, end + 1, broken
+        at += 1
+    return n, n, broken
+
+
+def _marks(token: str, tag: str) -> dict[str, str]:
+    """The attributes that say something about an element's role; of equal names the first."""
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(token, len(tag) + 1):
+        if (name := name.lower()) in MARKS:
+            out.setdefault(name, a or b or c)
+    return out
+
+
 class Node:
-    __slots__ = ("tag", "chain", "off", "main", "inline", "block")
+    __slots__ = ("tag", "chain", "off", "main", "inline")
+
+    def __init__(self, tag: str, chain: str, off: int, main: bool, inline: bool):
+        self.tag, self.chain, self.off, self.main, self.inline = tag, chain, off, main, inline
+
+
+KEPT, PERHAPS, WEAK, STRONG = range(4)
+
 
-    def __init__(self, tag: str, chain: str, off: bool, main: bool, inline: bool, block: int):
-        self.tag, self.chain, self.off, self.main, self.inline, self.block = tag, chain, off, main, inline, block
+def _named(name: str) -> int:
+    """What one class name or id says: a role by itself, perhaps one as the end or start of a compound, or nothing."""
+    plain = name.rstrip("0123456789")
+    if plain in ROLE_NAMES:
+        return WEAK
+    pieces = re.split(r"[-_]+", plain)
+    if len(pieces) < 2 or NOT_ROLE & set(pieces):
+        return KEPT
+    return PERHAPS if pieces[-1] in ROLE_NAMES or (pieces[0] in ROLE_NAMES and pieces[-1] in CONTAINERS) else KEPT
 
 
-def _role(tag: str, marks: dict[str, str], inside_main: bool) -> bool:
-    """Whether an element's name or marks say that it is not main text."""
-    if tag in ROLE_TAGS or (tag == "header" and not inside_main):
-        return True
-    if "hidden" in marks or marks.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", marks.get("style", ""), re.I):
-        return True
-    if marks.get("role", "").lower() in ROLE_ARIA:
-        return True
-    names = re.split(r"[^a-z0-9]+", f"{marks.get('class', '')} {marks.get('id', '')}".lower())
-    return tag not in ("body", "html", "article", "main") and any(n in ROLE_NAMES or n.rstrip("0123456789") in ROLE_NAMES for n in names)
+def _role(tag: str, marks: dict[str, str], inside_main: bool) -> int:
+    """How surely an element's name or marks say that it is not main text.
+
+    A marked main part inside ends what is WEAK, as a form or a class name around a whole page;
+    what is PERHAPS also stays if nothing else does.
+    """
+    if tag in STRONG_TAGS or "hidden" in marks or marks.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", marks.get("style", ""), re.I):
+        return STRONG
+    if tag in ROLE_TAGS or (tag == "header" and not inside_main) or marks.get("role", "").lower() in ROLE_ARIA:
+        return WEAK
+    if tag in ("body", "html", "article", "main"):
+        return KEPT
+    return max((_named(n) for n in f"{marks.get('class', '')} {marks.get('id', '')}".lower().split()), default=KEPT)
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(chain of elements, text, cut by role, inside a marked main part) of each block in page order."""
+def blocks(page: str, roles: bool = True) -> list[tuple[str, str, int, bool]]:
+    """(chain of elements, text, how surely its role cuts it, inside a marked main part) of each block in page order."""
     out: list[list] = []
     parts: list[str] = []
-    stack = [Node("", "", False, False, False, 0)]
-    at, number = 0, 0
-    raw: str | None = None
+    stack = [Node("", "", KEPT, False, False)]
+    at, last, broken = 0, page.rfind(">"), False
 
     def flush(block_of: Node) -> None:
         if parts:
@@ -127,13 +191,13 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             flush(top_block())
         del stack[k:]
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
+    while at < len(page):
+        start, end, broken = _next_tag(page, at, last, broken)
+        if start > at:
+            parts.append(page[at:start])
+        at, token = end, page[start:end]
+        if not token or not token.endswith(">"):
             continue
-        if raw is None and m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        token = m.group()
         if token[1] in "!?":
             if token.startswith("<![CDATA["):
                 parts.append(html.escape(token[9:-3]))
@@ -172,15 +236,15 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         if tag in VOID:
             continue
         top = stack[-1]
-        marks = {k.lower(): a or b or c for k, a, b, c in MARKS.findall(token)} if len(token) > len(tag) + 2 else {}
-        main = top.main or tag in ("article", "main") or marks.get("role", "").lower() == "main"
-        off = top.off or (_role(tag, marks, main and tag not in ("article", "main")) if not inline or marks else False)
-        if inline and off and not top.off:
+        marks = _marks(token, tag) if len(token) > len(tag) + 2 else {}
+        begins = roles and (tag in ("article", "main") or marks.get("role", "").lower() == "main")
+        main = top.main or begins
+        above = KEPT if begins and top.off < STRONG else top.off
+        off = max(above, _role(tag, marks, main and not begins) if roles and (not inline or marks) else KEPT)
+        if inline and off != top.off:
             flush(top_block())
         name = tag + ("." + ".".join(sorted(marks["class"].split())) if marks.get("class") else "")
-        stack.append(Node(tag, top.chain if inline else f"{top.chain}/{name}", off, main, inline, number))
-    if at < len(page) and raw is None:
-        parts.append(page[at:].split("<", 1)[0] if re.match(r"</?[a-zA-Z!?]", page[at:]) else page[at:])
+        stack.append(Node(tag, top.chain if inline else f"{top.chain}/{name}", off, main, inline))
     flush(top_block())
     return [tuple(x) for x in out]
 
@@ -202,9 +266,11 @@ def _text_key(node: int, text: int) -> int:
     return _hash(f"{node} {text}")
 
 
-def _candidates(page: str) -> tuple[bool, list[tuple[str, str, bool, bool]], int]:
+def _candidates(page: str, roles: bool) -> tuple[bool, list[tuple[str, str, int, bool]], int]:
     """Whether the page marks its main part, the blocks that roles leave, and the number of all blocks."""
-    found = blocks(page)
+    found = blocks(page, roles)
+    if all(off for _, _, off, _ in found):  # compounds of class names are not certain enough to leave nothing
+        found = [(chain, text, off if off > PERHAPS else KEPT, main) for chain, text, off, main in found]
     marked = any(main for _, _, off, main in found if not off)
     return marked, [b for b in found if not b[2] and (b[3] or not marked)], len(found)
 
@@ -213,7 +279,7 @@ FEATURE = pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("feature", pa.
 PAGE = "host string, marked boolean, main long, page long, features array<struct<node:long,kind:int,feature:long,weight:float>>"
 
 
-def _page_features(left: list[tuple[str, str, bool, bool]], marked: bool) -> list[dict]:
+def _page_features(left: list[tuple[str, str, int, bool]], marked: bool) -> list[dict]:
     """Distinct features of a page's tree: TEXT of a node (weight: its length, 0 for headings), STYLE and EDGE of an inner node.
 
     A style is the sequence of a node's children, its own text standing as the node itself; an edge's weight is
@@ -245,33 +311,36 @@ def _page_features(left: list[tuple[str, str, bool, bool]], marked: bool) -> lis
     return [{"node": n, "kind": k, "feature": f, "weight": w} for (n, k, f), w in out.items()]
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Host, hash of the main text, hash of the page and features of each page; copies in a row of batches only once."""
-    seen: set = set()
-    for batch in batches:
-        rows = []
-        for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            copy = (host, _hash(page or ""))
-            if copy in seen:
-                continue
-            if len(seen) > 200_000:
-                seen.clear()
-            seen.add(copy)
-            marked, left, _ = _candidates(page or "")
-            if left:
-                rows.append((host, marked, _hash("\n\n".join(b[1] for b in left)), copy[1], _page_features(left, marked)))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        types = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(FEATURE))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "marked", "main", "page", "features"])
-
-
-def style_tree(pages: DataFrame, least: int = LEAST) -> DataFrame:
+def _features(roles: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Host, hash of the main text, hash of the page and features of each page; copies in a row of batches only once."""
+        seen: set = set()
+        for batch in batches:
+            rows = []
+            for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
+                copy = (host, _hash(page or ""))
+                if copy in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(copy)
+                marked, left, _ = _candidates(page or "", roles)
+                if left:
+                    rows.append((host, marked, _hash("\n\n".join(b[1] for b in left)), copy[1], _page_features(left, marked)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            types = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(FEATURE))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "marked", "main", "page", "features"])
+
+    return run
+
+
+def style_tree(pages: DataFrame, least: int = LEAST, roles: bool = True) -> DataFrame:
     """(host, marked, node, kind, feature, k, n, weight, ln): the counts over distinct pages that a host is judged by.
 
     Pages of a host with one main text count once. Texts are named while they may
     stand on most pages of a node; the others of a node, and its styles, are summed (feature 0).
     """
-    once = pages.select(host_of().alias("host"), "html").mapInArrow(thrifty(_features), PAGE).groupBy("host", "marked", "main").agg(F.min_by("features", "page").alias("features"))
+    once = pages.select(host_of().alias("host"), "html").mapInArrow(thrifty(_features(roles)), PAGE).groupBy("host", "marked", "main").agg(F.min_by("features", "page").alias("features"))
     one = once.select("host", "marked", F.explode("features").alias("f")).select("host", "marked", "f.*")
     counted = one.groupBy("host", "marked", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("weight").cast("double")).alias("weight"))
     k = F.col("k").cast("double")
@@ -363,7 +432,7 @@ def _head(chain: str) -> int:
     return HEADS.get(chain.rpartition("/")[2].split(".")[0], 0)
 
 
-def _keep(left: list[tuple[str, str, bool, bool]], marked: bool, cut: set[int]) -> list[str]:
+def _keep(left: list[tuple[str, str, int, bool]], marked: bool, cut: set[int]) -> list[str]:
     """The texts that stay: what is not cut, and headings of what stays (on unmarked pages, within their parent)."""
     stay = []
     for chain, text, *_ in left:
@@ -386,22 +455,27 @@ def _keep(left: list[tuple[str, str, bool, bool]], marked: bool, cut: set[int])
     return [b[1] for b, s in zip(left, stay, strict=True) if s]
 
 
-def extract_main_text(pages: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks_cut of every page."""
-    judged = style_tree(pages, least).groupBy("host", "marked").applyInArrow(_judge(threshold, least), "host string, cut array<long>")
-    low = judged.filter(F.size("cut") > 0).groupBy("host").agg(F.flatten(F.collect_list("cut")).alias("cut"))
+def extract_main_text(pages: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, broadcast_bytes: int = BROADCAST_BYTES, roles: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars, n_blocks_cut of every page; without roles the style tree decides alone."""
+    judged = style_tree(pages, least, roles).groupBy("host", "marked").applyInArrow(_judge(threshold, least), "host string, cut array<long>")
+    low = cut(judged.filter(F.size("cut") > 0).groupBy("host").agg(F.flatten(F.collect_list("cut")).alias("cut")))  # a row for each of a host's two trees
+    small = (low.agg(F.sum(F.size("cut") * 8 + F.octet_length("host") + 64)).first()[0] or 0) <= broadcast_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone = [], []
             for page, cut in zip(batch["html"].to_pylist(), batch["cut"].to_pylist(), strict=True):
-                marked, left, number = _candidates(page or "")
+                marked, left, number = _candidates(page or "", roles)
                 kept = _keep(left, marked, set(cut or ()))
                 texts.append("\n\n".join(kept))
                 gone.append(number - len(kept))
             yield pa.RecordBatch.from_arrays([batch["page_id"].cast(pa.int64()), batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(np.array(gone, np.int64))], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    # pages of a host are spread over SALTS tasks; what is cut on a host is small and goes to each of them
-    salted = pages.select("page_id", "url", "html", host_of().alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).alias("salt"))
-    spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "cut").mapInArrow(thrifty(run), RESULT)
+    found = pages.select("page_id", "url", "html", host_of().alias("host"))
+    if small:
+        joined = found.join(F.broadcast(low), "host", "left")  # no more than broadcast_bytes, as just measured
+    else:
+        # pages of a host are spread over SALTS tasks; what is cut on a host goes to each of them
+        spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = found.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(spread, ["host", "salt"], "left")
+    return joined.select("page_id", "url", "html", "cut").mapInArrow(thrifty(run), RESULT)

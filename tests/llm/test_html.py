@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from lexmill.llm.html import blocks, extract_main_text
 
 SHELL = """<!DOCTYPE html><html><head><title>No title</title><style>p{{}}</style></head><body class="page">
@@ -69,3 +73,37 @@ def test_a_branch_is_cut_whole(spark):
     # a text of one page's own stays, and what few pages have is not judged alone
     owned = [page(i, "<p class=y>Not seen before</p>" if i == 0 else "") for i in range(12)]
     assert texts(table(spark, owned)) == ["Not seen before\n\nown text 0"] + [f"own text {i}" for i in range(1, 12)]
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "layout-with-sidebar", "search-results", "legal-text", "main-content has-sidebar", "related-work"])
+def test_names_around_an_article_do_not_cut_it(name):
+    page = f'<div class="{name}"><h1>Title</h1><p>own text</p></div>'
+    assert [(b[1], b[2]) for b in blocks(page)] == [("Title", 0), ("own text", 0)]
+    page = f'<form action=x><div class="sidebar"><article><p class="{name}">own text</p></article></div></form>'
+    assert [(b[1], b[2]) for b in blocks(page)] == [("own text", 0)]
+
+
+def test_names_that_cut(spark):
+    for name in ("sidebar", "ad3", "site-header", "nav-links", "cookie-banner", "comments"):
+        assert texts(table(spark, [f'<p>own</p><div class="{name}">other</div>'])) == ["own"], name
+    # compounds alone never leave a page empty, whole names and elements do
+    assert texts(table(spark, ['<div class="page-header"><p>all</p></div>', "<nav>all</nav>", "<div class=footer>all</div>", '<div data-class="ad">stays</div>'])) == ["all", "", "", "stays"]
+
+
+@pytest.mark.parametrize("page", ["<p>x</p><a " + "b='c' " * 100_000, "<p>x</p>" + "<a b=" * 100_000, "<p>x</p>" + '<a b="' * 100_001 + ">", "<p>x</p>" + "<!" * 200_000, "<p>x</p><i class='" + "class=" * 100_000 + "'>", "<p>x</p>" + "<" * 300_000, "<p>x</p><div " + "a=\"b\" " * 100_000 + ">y"])
+def test_long_and_broken_tags_take_linear_time(page):
+    began = time.time()
+    assert blocks(page)[0][1] == "x"
+    assert time.time() - began < 5
+
+
+def test_the_tree_alone_finds_frames(spark):
+    """Without any list of roles, what a site's pages have in common goes and articles stay."""
+    frame = "<div class=a1><p>Home</p><p>About us</p></div><div class=a2><h2>Story {n}</h2><p>first part {n}</p><p>second part {n}</p></div><div class=a3><p>Follow us on the net</p></div><div class=a4><p>All rights reserved</p></div>"
+    df = table(spark, [frame.format(n=n) for n in range(20)])
+    alone = [r.text for r in extract_main_text(df, roles=False).orderBy("page_id").collect()]
+    assert alone == [f"Story {n}\n\nfirst part {n}\n\nsecond part {n}" for n in range(20)]
+    # the tree changes the result: a threshold that never cuts leaves the frame in
+    assert all("Follow us" in r.text for r in extract_main_text(df, threshold=-1.0, least=10**9, roles=False).collect())
+    # and the join on a host and a salt gives what the broadcast gives
+    assert sorted(map(str, extract_main_text(df, broadcast_bytes=-1).collect())) == sorted(map(str, extract_main_text(df).collect()))
