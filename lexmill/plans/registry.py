@@ -271,17 +271,30 @@ def lsh_candidates(spark, sf_dir):
     return minhash.candidates(minhash.signatures(_distinct_docs(spark, sf_dir), PERM, 5), BANDS, ROWS)
 
 
-@query()
+def _keep_sql(pairs: str, source: str, columns: str = "doc_id") -> str:
+    """Ids in order: each that is not dropped drops its later neighbours."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED ({pairs}),
+nb AS MATERIALIZED (SELECT a AS id, list(b) AS bs FROM p GROUP BY a),
+ids AS MATERIALIZED (SELECT id, bs, row_number() OVER (ORDER BY id) AS rn FROM nb),
+r(rn, dropped) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT ids.rn, CASE WHEN list_contains(r.dropped, ids.id) THEN r.dropped ELSE list_concat(r.dropped, ids.bs) END FROM r JOIN ids ON ids.rn = r.rn + 1)
+SELECT {columns} FROM ({source}) WHERE doc_id NOT IN (SELECT unnest(dropped) FROM (SELECT dropped FROM r ORDER BY rn DESC LIMIT 1))"""
+
+
+def _keep_firsts_sql(n: int, bands: int, rows: int, k: int, short: bool) -> str:
+    return _keep_sql(_pairs_sql(n, bands, rows, k, short, _FIRSTS), _FIRSTS)
+
+
+@query(_keep_firsts_sql(PERM, BANDS, ROWS, 5, True))
 def minhash_keep(spark, sf_dir):
     return minhash.keep_first(_docs(spark, sf_dir), PERM, BANDS, ROWS, 5)
 
 
-@query()
+@query(_keep_firsts_sql(128, 9, 13, 3, False))
 def minhash_pkg(spark, sf_dir):
     return minhash.keep_first(_docs(spark, sf_dir), 128, 9, 13, 3, short=False)
 
 
-@query()
+@query(_keep_firsts_sql(100, 8, 12, 5, True))
 def minhash_strict(spark, sf_dir):
     return minhash.keep_first(_docs(spark, sf_dir), 100, 8, 12, 5)
 
@@ -446,10 +459,11 @@ def perplexity(spark, sf_dir):
     return loss.agg(F.round(F.avg("loss"), 6).alias("mean_loss"), F.round(F.exp(F.avg("loss")), 6).alias("perplexity"))
 
 
-@query("SELECT e.event_id, v.vec_id, round(v.embedding[1]::DOUBLE, 6) AS first FROM events e JOIN embeddings v ON v.vec_id = e.user_id")
+@query("SELECT e.event_id, v.vec_id, md5(array_to_string(list_transform(v.embedding, lambda x: round(x::DOUBLE * 1000000)::BIGINT), ',')) AS digest FROM events e JOIN embeddings v ON v.vec_id = e.user_id")
 def embedding_lookup(spark, sf_dir):
     ids = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("vec_id"))
-    return ids.join(_vectors(spark, sf_dir), "vec_id").select("event_id", "vec_id", F.round(F.element_at("x", 1), 6).alias("first"))
+    digest = F.md5(F.array_join(F.transform("x", lambda v: F.round(v * 1000000).cast("long").cast("string")), ",").cast("binary"))
+    return ids.join(_vectors(spark, sf_dir).select("vec_id", digest.alias("digest")), "vec_id").select("event_id", "vec_id", "digest")
 
 
 def _cells(spark, sf_dir):
@@ -517,7 +531,13 @@ def param_count(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"), F.sum(F.size("embedding")).alias("params"))
 
 
-@query()
+_BUCKETS = """WITH RECURSIVE s AS (SELECT label, bytes, row_number() OVER (ORDER BY label) AS rn FROM (SELECT label::INT AS label, sum(len(embedding) * 4)::BIGINT AS bytes FROM embeddings GROUP BY label)),
+r(rn, label, bucket, held) AS (SELECT rn, label, 0, bytes FROM s WHERE rn = 1 UNION ALL
+SELECT s.rn, s.label, CASE WHEN held + bytes > 64000 THEN bucket + 1 ELSE bucket END, CASE WHEN held + bytes > 64000 THEN bytes ELSE held + bytes END FROM r JOIN s ON s.rn = r.rn + 1)
+SELECT label, bucket::INT AS bucket FROM r"""
+
+
+@query(_BUCKETS)
 def ddp_buckets(spark, sf_dir):
     """Parameters are the labels of the embeddings, a bounded set; their bytes are packed in order."""
     sizes = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sum(F.size("embedding") * 4).alias("bytes")).orderBy("label").collect()
@@ -570,11 +590,11 @@ def isoflop_summary(spark, sf_dir):
     return p.agg(F.count("*").alias("points"), F.round(F.log10(F.min("parameters")), 6).alias("log_n_min"), F.round(F.log10(F.max("parameters")), 6).alias("log_n_max"), F.round(F.min("final_loss"), 6).alias("loss_min"), F.round(F.max("final_loss"), 6).alias("loss_max"))
 
 
-@query(f"SELECT round(1 - sum(pow(loss - (loss + 0.01 * sin(log10(parameters) * 7)), 2)) / sum(pow(loss - mean, 2)), 6) AS r2 FROM (SELECT *, avg(loss) OVER () AS mean FROM ({_P}))")
+@query(f"SELECT round(1 - sum(pow(y - loss, 2)) / sum(pow(y - mean, 2)), 6) AS r2 FROM (SELECT *, avg(y) OVER () AS mean FROM (SELECT *, loss + 0.01 * sin(log10(parameters) * 7) AS y FROM ({_P})))")
 def r_squared(spark, sf_dir):
-    noisy = scaling.isoflop_points(spark)
-    y, off = F.col("final_loss"), 0.01 * F.sin(F.log10("parameters") * 7)
-    return noisy.agg(F.round(1 - F.sum(off * off) / (F.var_pop(y) * F.count(y)), 6).alias("r2"))
+    """Of the published law on points that stray from it."""
+    noisy = scaling.isoflop_points(spark).withColumn("final_loss", F.col("final_loss") + 0.01 * F.sin(F.log10("parameters") * 7))
+    return scaling.r_squared(noisy, scaling.PUBLISHED).select(F.round("r2", 6).alias("r2"))
 
 
 @query()
@@ -596,7 +616,10 @@ def clean_corpus(spark, sf_dir):
     return clean.run(_docs(spark, sf_dir)).select("doc_id", "lang", "language", F.md5(_text().cast("binary")).alias("digest"))
 
 
-@query()
+_CLEAN_FIRSTS = f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn FROM (SELECT * FROM (SELECT *, {REASON} AS reason FROM (SELECT doc_id, lang, {_MASKED} AS text, {LANG} AS language, {PII_COUNT}::BIGINT AS pii_count FROM documents WHERE length(text) > 100) WHERE language = 'en') WHERE reason IS NULL)) WHERE rn = 1"
+
+
+@query(_keep_sql(_pairs_sql(128, 9, 13, 3, False, f"({_CLEAN_FIRSTS})"), _CLEAN_FIRSTS, "doc_id, lang, language, pii_count, text"))
 def clean_corpus_near(spark, sf_dir):
     return clean.run(_docs(spark, sf_dir), near=True).select("doc_id", "lang", "language", "pii_count", "text")
 

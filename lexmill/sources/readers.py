@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,5 +69,17 @@ def token_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("name"), code.alias("code")).select("name", F.when(F.length("code") >= 4, ids).otherwise(F.array().cast("array<int>")).alias("tokens"))
 
 
+def npy_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, tokens) of integer arrays in .npy files, widened to long."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(path)
+
+    def run(batches):
+        for batch in batches:
+            arrays = [np.load(io.BytesIO(raw), allow_pickle=False).astype(np.int64).ravel() for raw in batch["content"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(arrays, pa.list_(pa.int64()))], names=["name", "tokens"])
+
+    return files.select("path", "content").mapInArrow(run, "name string, tokens array<long>")
+
+
 def isoflop_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POINTS).option("multiLine", True).json(path)
