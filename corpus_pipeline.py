@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns
 of documents; the last returns ids. Between stages the result is written down.
 Each works on all rows its predecessor kept.
+
+Cases: a null text, or one without a letter, has no language and goes first; of
+repeated rows, copies and near copies one row stays (the least id, null ids last);
+a text of which nothing is left goes; a null lang is filled in; very long texts are
+whole everywhere; other columns, whatever their names, are carried to the last
+stage; empty tables give an empty result with the same columns.
 """
 
 from __future__ import annotations
@@ -17,7 +23,11 @@ from lexmill.llm.substrings import drop_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others (no text, no letter) go."""
+    """Documents that a learned language codes well, lang filled in where it is null.
+
+    Rejected are documents without text or letters, and those that even their best language
+    codes in 12 bits a byte or more (text drawn at random, other alphabets).
+    """
     return ppm.keep_identified(docs)
 
 
@@ -32,7 +42,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which neither two benchmark items nor a long part of one occur."""
+    """Documents in which neither two benchmark items nor 13 words in a row of one (all words of one of 8 to 12) occur."""
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
