@@ -4,8 +4,10 @@ The categories of the label table are predicted in a fixed order, each by a
 logistic regression on word and word-pair features (present or not) and on the
 probabilities of all categories before it. While training, those probabilities
 are out-of-fold predictions, so a later link sees its predecessors as good as
-they will be on new text. Each link keeps the features that tell its classes
-apart best; its threshold is the one with the best out-of-fold F1.
+they will be on new text. Features are 64-bit hashes of words and pairs, looked up
+exactly. Each link is fitted on the features that `least_rows` sample rows have and
+whose presence differs between its classes by more than `least_z` standard errors;
+its threshold is the one with the best out-of-fold F1.
 
 The training sample is bounded: `max_rows` labelled documents, those first by a
 hash of the id. Words, their counts and predictions cover whole texts.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from .arrays import BASE_B, MIX_1, U64, buffers, mix, pieces, span_hashes, words
 from .common import thrifty
 
-BITS = 18
-MAX_ROWS, FOLDS, FEATURES, LEAST_ROWS = 8000, 5, 1000, 4
+MAX_ROWS, FOLDS = 8000, 5
+LEAST_ROWS, LEAST_Z = 4, 4.0
 PIECE = 1 << 20
 #: Chain order: (name, SQL over the label table). Junk comes first: its probability helps to read the rest.
 CHAIN = [("low_quality", "1 - quality"), ("toxic", "toxic")]
@@ -39,15 +41,13 @@ CHAIN = [("low_quality", "1 - quality"), ("toxic", "toxic")]
 def features(column: pa.Array) -> Iterator[np.ndarray]:
     """Per row the distinct hashed words and pairs of neighbouring words."""
     raw, offsets = buffers(column)
-    mask = U64((1 << BITS) - 1)
     for i, j in pieces(offsets, PIECE):
         low, starts, ends, first = words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         h = span_hashes(low, starts, ends)
         with np.errstate(over="ignore"):
             pairs = mix(h[:-1] * MIX_1 + h[1:] * BASE_B) if len(h) > 1 else h[:0]
-        one, two = (h & mask).astype(np.int32), (pairs & mask).astype(np.int32)
         for a, b in zip(first[:-1], first[1:], strict=True):
-            yield np.unique(np.concatenate((one[a:b], two[a : max(a, b - 1)])))
+            yield np.unique(np.concatenate((h[a:b], pairs[a : max(a, b - 1)])))
 
 
 @dataclass
@@ -85,7 +85,7 @@ def fit(x: Sparse, y: np.ndarray, l2: float = 1.0, rounds: int = 300) -> tuple[n
 @dataclass
 class Link:
     name: str
-    columns: np.ndarray  # hashed features in use, ascending
+    columns: np.ndarray  # features in use, ascending
     weights: np.ndarray  # of them, then of the links before
     bias: float
     threshold: float = 0.5
@@ -98,29 +98,28 @@ class Chain:
     def predict(self, rows: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(rows), len(self.links)))
         size = np.array([len(r) for r in rows], np.int64)
-        flat, row = np.concatenate([*rows, np.zeros(0, np.int32)]), np.repeat(np.arange(len(rows)), size)
+        flat, row = np.concatenate([*rows, np.zeros(0, U64)]), np.repeat(np.arange(len(rows)), size)
         for k, link in enumerate(self.links):
-            dense = np.zeros(1 << BITS)
-            dense[link.columns] = link.weights[: len(link.columns)]
-            z = np.bincount(row, dense[flat], len(rows)) + link.bias + out[:, :k] @ link.weights[len(link.columns) :]
+            n = len(link.columns)
+            at = np.minimum(np.searchsorted(link.columns, flat), max(n - 1, 0))
+            hit = np.flatnonzero(link.columns[at] == flat) if n else np.zeros(0, np.int64)
+            z = np.bincount(row[hit], link.weights[at[hit]], len(rows)) + link.bias + out[:, :k] @ link.weights[n:]
             out[:, k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return out
 
 
-def choose(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The features whose presence differs most between the classes, in standard errors."""
+def choose(rows: list[np.ndarray], y: np.ndarray, width: int) -> np.ndarray:
+    """The numbers below width, of features whose presence differs between the classes."""
     flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n1, n0 = y.sum(), len(y) - y.sum()
-    a, total = np.bincount(flat, y[row], 1 << BITS), np.bincount(flat, minlength=1 << BITS)
+    a, total = np.bincount(flat, y[row], width), np.bincount(flat, minlength=width)
     p = total / len(y)
     z = np.abs(a / n1 - (total - a) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[total < LEAST_ROWS] = 0
-    best = np.argsort(-z, kind="stable")[:FEATURES]
-    return np.sort(best[z[best] > 2])
+    return np.flatnonzero((total >= LEAST_ROWS) & (z > LEAST_Z))
 
 
-def matrix(rows: list[np.ndarray], columns: np.ndarray, extra: np.ndarray) -> Sparse:
-    place = np.full(1 << BITS, -1, np.int64)
+def matrix(rows: list[np.ndarray], columns: np.ndarray, extra: np.ndarray, width: int) -> Sparse:
+    place = np.full(width, -1, np.int64)
     place[columns] = np.arange(len(columns))
     at = place[np.concatenate(rows)]
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -129,30 +128,32 @@ def matrix(rows: list[np.ndarray], columns: np.ndarray, extra: np.ndarray) -> Sp
 
 def train_chain(rows: list[np.ndarray], labels: np.ndarray, names: list[str]) -> Chain:
     chain, earlier = Chain(), np.zeros((len(rows), 0))
+    names_of, number = np.unique(np.concatenate([*rows, np.zeros(0, U64)]), return_inverse=True)
+    rows, width = np.split(number, np.cumsum([len(r) for r in rows])[:-1]) if rows else [], len(names_of)
     fold = np.arange(len(rows)) % FOLDS
     for k, name in enumerate(names):
         y = labels[:, k].astype(np.float64)
         if len(rows) < 2 * FOLDS or y.sum() < FOLDS or (1 - y).sum() < FOLDS:
             share = float(y.mean()) if len(y) else 0.0
             bias = float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -30, 30))
-            chain.links.append(Link(name, np.zeros(0, np.int64), np.zeros(k), bias))
+            chain.links.append(Link(name, np.zeros(0, U64), np.zeros(k), bias))
             earlier = np.concatenate((earlier, np.full((len(rows), 1), share)), axis=1)
             continue
         guess = np.zeros(len(rows))
         for f in range(FOLDS):
             learn, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            columns = choose([rows[i] for i in learn], y[learn])
-            w, b = fit(matrix([rows[i] for i in learn], columns, earlier[learn]), y[learn])
-            z = matrix([rows[i] for i in test], columns, earlier[test]).times(w) + b
+            columns = choose([rows[i] for i in learn], y[learn], width)
+            w, b = fit(matrix([rows[i] for i in learn], columns, earlier[learn], width), y[learn])
+            z = matrix([rows[i] for i in test], columns, earlier[test], width).times(w) + b
             guess[test] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        columns = choose(rows, y)
-        w, b = fit(matrix(rows, columns, earlier), y)
+        columns = choose(rows, y, width)
+        w, b = fit(matrix(rows, columns, earlier, width), y)
         order = np.argsort(-guess)
         hits = np.cumsum(y[order])
         f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
         at = int(f1.argmax())
         below = guess[order[at + 1]] if at + 1 < len(y) else 0.0
-        chain.links.append(Link(name, columns, w, float(b), float((guess[order[at]] + below) / 2)))
+        chain.links.append(Link(name, names_of[columns], w, float(b), float((guess[order[at]] + below) / 2)))
         earlier = np.concatenate((earlier, guess[:, None]), axis=1)
     return chain
 
@@ -178,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, chain: l
     order = np.argsort(mix(rows["doc_id"].to_numpy().astype(np.int64).view(U64)), kind="stable")
     found = rows["found"].to_pylist()
     values = np.stack([rows[n].to_numpy() for n in names], axis=1) if len(order) else np.zeros((0, len(names)))
-    return train_chain([np.frombuffer(found[i], np.int32) for i in order], values[order], names)
+    return train_chain([np.frombuffer(found[i], U64) for i in order], values[order], names)
 
 
 def score(docs: DataFrame, model: Chain) -> DataFrame:

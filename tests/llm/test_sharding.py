@@ -26,6 +26,19 @@ def test_documents(docs):
     assert max(load) - min(load) <= max(r.size for r in rows)
 
 
+def test_against_lpt_of_groups(docs):
+    """Size classes cost next to nothing against true LPT over the groups themselves."""
+    for shards in (5, 40):
+        load, rows = check(docs, shards)
+        groups: dict = {}
+        for r in rows:
+            groups[r.size, r.text_crc32] = groups.get((r.size, r.text_crc32), 0) + r.size
+        heap = [0] * shards
+        for size in sorted(groups.values(), reverse=True):
+            heapq.heapreplace(heap, heap[0] + size)
+        assert max(load) <= max(heap) * (1 + 2.0 ** (1 - sharding.BITS)) + 1
+
+
 def test_odd_rows(odd, none):
     check(odd)
     assert sharding.lpt_shards(none).count() == 0
