@@ -97,3 +97,47 @@ def test_bound_on_distinct_words(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     with pytest.raises(ValueError, match="distinct"):
         bpe.train(docs, 300, max_words=2)
+
+
+def test_training_and_encoding_of_the_whole_table(spark, sf):
+    """Against recounting and against merging word by word, with pre-tokens from another regex engine."""
+    import regex
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    pattern = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    split = lambda t: [w for part in t.split("<|endoftext|>") if part for w in pattern.findall(part)]
+    counts = Counter(w for t in texts.values() for w in split(t))
+    tokenizer = bpe.train(docs, 256 + 1 + 25)
+    assert [(a, b) for a, b in tokenizer.merges] == plain_train(sorted(counts.items()), 256 + 25)
+
+    def plain_encode(word):
+        parts = [bytes([b]) for b in word.encode()]
+        for left, right in tokenizer.merges:  # each merge in turn over the whole word
+            out, i = [], 0
+            while i < len(parts):
+                if parts[i : i + 2] == [left, right]:
+                    out.append(left + right)
+                    i += 2
+                else:
+                    out.append(parts[i])
+                    i += 1
+            parts = out
+        return parts
+
+    known = {w: plain_encode(w) for w in counts}
+    for r in bpe.encode(docs, tokenizer).collect():
+        if "<|endoftext|>" not in texts[r.doc_id]:
+            assert [tokenizer.vocab[i] for i in r.ids] == [p for w in split(texts[r.doc_id]) for p in known[w]]
+
+
+def test_training_limit_of_133_kb(spark, sf):
+    """The published limit for 133 KB at vocabulary 500 is 1.5 s; counting included, sessions and machines differ."""
+    import time
+
+    rows = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    text = "\n".join(rows).encode()[:133_000].decode(errors="ignore")
+    counts = Counter(bpe.Tokenizer({}, []).split(text))
+    began = time.perf_counter()
+    assert len(bpe.train_from_counts(sorted(counts.items()), 500).merges) == 244
+    assert time.perf_counter() - began < 5
