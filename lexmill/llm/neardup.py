@@ -46,12 +46,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BASE_A, BASE_B, MIX_1, U64, buffers, mix, pieces, span_hashes, words
-from .common import cut, fresh, release_memory, text_key, thrifty
+from .common import cut, fresh, release_memory, shuffle_parts, text_key, thrifty
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 7  # a pair at the threshold shares a band with probability 0.997
-BLOCK, BLOCK_BYTES = 200, 1 << 20
+BLOCK, BLOCK_BYTES = 100, 1 << 20
 NO_ID = -(1 << 63)
 PIECE = 1 << 20
 
@@ -285,7 +285,9 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
         release_memory()
         return pa.table([pa.array([nid[i] for i, _ in found], pa.int64()), pa.array([nid[j] for _, j in found], pa.int64())], names=["x", "y"])
 
-    linked = cut(work.join(texts.select("nid", "text"), "nid").groupBy("by", "unit", "a", "b").applyInArrow(block_links, "x long, y long"))
+    # dealt by number: few bytes, but much work, so that partitions are not to be merged by size
+    pairs_of_blocks = work.join(texts.select("nid", "text"), "nid").repartition(shuffle_parts(docs.sparkSession), "by", "unit", "a", "b")
+    linked = cut(pairs_of_blocks.groupBy("by", "unit", "a", "b").applyInArrow(block_links, "x long, y long"))
     edges = linked.select((-1 - F.monotonically_increasing_id()).alias("group"), F.array("x", "y").alias("pair")).select("group", F.explode("pair").alias("nid"))
     # a class: what the stars (named by their label) and the links (numbered below 0) connect
     together = cut(star.union(edges))
