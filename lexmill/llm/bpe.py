@@ -105,7 +105,7 @@ def plain_rows(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Which rows have only characters below PLAIN and no "<|"."""
     odd = raw > 0xC4
     odd[:-1] |= (raw[:-1] == 0xC4) & (raw[1:] >= 0xB0) | (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
-    return np.diff(np.concatenate(([0], np.cumsum(odd)))[offsets]) == 0
+    return np.diff(np.searchsorted(np.flatnonzero(odd), offsets)) == 0
 
 
 def split_plain(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -168,20 +168,27 @@ def unit_words(splitter: Splitter, column: pa.Array) -> tuple[list[str], list[np
     names: list[str] = []
     if plain.any():
         some, at = raw[np.repeat(plain, size)], np.concatenate(([0], np.cumsum(size[plain])))
-        parts, text, count = [], [], []
-        for i, j in pieces(at, PIECE):
+        parts, text, count, places = [], [], [], []
+        for i, j in pieces(at, PIECE):  # only what is distinct in a piece is kept, and a number for each word
             low, starts, ends, first = split_plain(some[at[i] : at[j]], at[i : j + 1] - at[i])
-            parts.append((span_hashes(low, starts, ends, BASE_A), span_hashes(low, starts, ends, BASE_B), starts + at[i], (ends - starts).astype(np.int32)))
+            h, check, length = span_hashes(low, starts, ends, BASE_A), span_hashes(low, starts, ends, BASE_B), (ends - starts).astype(np.int32)
+            _, seen, inverse, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            if (check != check[seen][inverse]).any() or (length != length[seen][inverse]).any():
+                raise ValueError("two words of a unit have one hash")
+            parts.append((h[seen], check[seen], starts[seen] + at[i], length[seen], often))
+            places.append(inverse.astype(np.uint32))
             text.append(low)
             count.append(np.diff(first))
-        h, check, starts, length = (np.concatenate(c) for c in zip(*parts, strict=True))
-        _, seen, inverse, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        del some
+        h, check, starts, length, often = (np.concatenate(c) for c in zip(*parts, strict=True))
+        _, seen, inverse = np.unique(h, return_index=True, return_inverse=True)
         if (check != check[seen][inverse]).any() or (length != length[seen][inverse]).any():
             raise ValueError("two words of a unit have one hash")
-        order = np.argsort(-often, kind="stable")
+        order = np.argsort(-np.bincount(inverse, often, len(seen)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        seen, inverse = seen[order], rank[inverse]
+        seen, of_piece = seen[order], np.split(rank[inverse], np.cumsum([len(p[0]) for p in parts])[:-1])
+        inverse = np.concatenate([r[k] for r, k in zip(of_piece, places, strict=True)])
         whole = np.concatenate(text).tobytes()
         names = [printable(whole[a : a + n]) for a, n in zip(starts[seen].tolist(), length[seen].tolist(), strict=True)]
         cuts = np.concatenate(([0], np.cumsum(np.concatenate(count))))

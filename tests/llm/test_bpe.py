@@ -56,3 +56,24 @@ def test_other_order_fails(docs):
     unordered = docs.select("doc_id", "text").coalesce(1).mapInArrow(anew, "doc_id long, text string")
     with pytest.raises(Exception, match="another order"):
         bpe.tokens(unordered, unit_bytes=20_000).collect()
+
+
+def test_units_keep_only_what_is_distinct():
+    """A unit's words take some numbers for each piece of it, not several for each word of the whole."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    vocabulary = [f"{rng.choice('bcdfg')}{'aeiou'[k % 5]}{k}" for k in range(20_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=2000)) for _ in range(500)]
+    splitter = bpe.Splitter(bpe.tokenizer_path())
+    bpe.unit_words(splitter, pa.array(texts[:1]))
+    column, size = pa.array(texts), sum(map(len, texts))
+    tracemalloc.start()
+    words, rows = bpe.unit_words(splitter, column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [words[k] for k in rows[7]] == list(splitter.words(texts[7]))
+    assert peak < 20 * size, peak / size
