@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexmill.llm import neardup
+from lexmill.llm import components, neardup
 from tests.llm.test_decontaminate import low
 
 
@@ -94,3 +94,26 @@ def test_group_held_together_by_chains(spark, monkeypatch):
 def test_clashing_names(odd):
     other = odd.withColumnsRenamed({"size": "at", "shard": "by"})
     assert neardup.keep_first(other).columns == other.columns and neardup.near_duplicates(other).count() == other.count()
+
+
+@pytest.mark.parametrize("few", [0, components.FEW])
+def test_components_follow_only_what_is_open(spark, monkeypatch, few):
+    """Groups of one label leave the rounds: tasks, and what the driver keeps of them, do not grow with rounds times nodes."""
+    pairs = [(k, x) for k in range(500) for x in (2 * k, 2 * k + 1)]
+    chain = [(1000 + k, x) for k in range(40) for x in (2000 + k, 2001 + k)]
+    read = []
+
+    def counted(df):
+        out = neardup.cut(df)
+        read.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "cut", counted)
+    monkeypatch.setattr(components, "FEW", few)
+    members = spark.createDataFrame(pairs + chain, "group long, nid long")
+    label = {r.nid: r.label for r in components.components(members).collect()}
+    assert len(label) == 1041 and all(label[label[x]] == label[x] for x in label)
+    assert all(label[2 * k] == label[2 * k + 1] for k in range(500)) and len({label[x] for x in range(2000, 2041)}) == 1
+    assert len(set(label.values())) == 501
+    assert sum(read) < 3 * len(label)
+    assert components.components(members.limit(0)).count() == 0
