@@ -24,6 +24,17 @@ def text_key(text="text"):
     return F.unhex(F.substring(F.sha2(F.col(text).cast("binary"), 256), 1, 32))
 
 
+def packed(done: DataFrame) -> DataFrame:
+    """What cut gave, read in parts of about the advisory size: the driver need not follow a task for each small part that wrote it."""
+    spark = done.sparkSession
+    rows = done._jdf.queryExecution().logical().rdd()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(rows.getCheckpointFile().get())
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    part = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
+    wanted = max(-(-size // part), spark.sparkContext.defaultParallelism)
+    return done.coalesce(wanted) if wanted < rows.getNumPartitions() else done
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: Python workers are reused from stage to stage."""
     import pyarrow as pa

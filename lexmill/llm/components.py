@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, thrifty
+from .common import cut, packed, thrifty
 
 FEW = 1 << 14  # pairs that one task joins at once: more rounds would only cost the driver stages
 
@@ -46,11 +46,11 @@ def components(members: DataFrame) -> DataFrame:
     while True:
         first = F.min(F.struct(F.xxhash64("nid", F.lit(len(steps))).alias("h"), "nid")).alias("first")
         taken = live.join(live.groupBy("group").agg(first), "group").groupBy("nid").agg(F.min("first").alias("first"))
-        step = cut(taken.select("nid", F.col("first.nid").alias("label")))
+        step = packed(cut(taken.select("nid", F.col("first.nid").alias("label"))))
         steps.append(step)
         merged = live.join(step, "nid").select("group", F.col("label").alias("nid"))
         still_open = merged.groupBy("group").agg(F.min("nid").alias("a"), F.max("nid").alias("b")).filter("a < b").select("group")
-        live = cut(merged.join(still_open, "group", "left_semi").distinct())
+        live = packed(cut(merged.join(still_open, "group", "left_semi").distinct()))
         if (left := live.count()) <= FEW:
             break
     if left:
@@ -58,5 +58,5 @@ def components(members: DataFrame) -> DataFrame:
     labels = steps.pop()
     while steps:
         end = labels.select(F.col("nid").alias("label"), F.col("label").alias("end"))
-        labels = cut(steps.pop().join(end, "label", "left").select("nid", F.coalesce("end", "label").alias("label")))
+        labels = packed(cut(steps.pop().join(end, "label", "left").select("nid", F.coalesce("end", "label").alias("label"))))
     return labels

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BASE_A, BASE_B, MIX_1, U64, buffers, mix, pieces, span_hashes, words
-from .common import cut, fresh, release_memory, shuffle_parts, text_key, thrifty
+from .common import cut, fresh, packed, release_memory, shuffle_parts, text_key, thrifty
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -211,23 +211,25 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     signed = keyed.filter(F.col("text").isNotNull()).mapInArrow(thrifty(_sign(bands, rows)), "doc_id long, tkey binary, bands array<long>")
     # one node for each text; ids of rows read from the checkpoint are the same each time
     nodes = cut(signed.groupBy("tkey").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")))
-    nodes = cut(nodes.withColumn("nid", F.monotonically_increasing_id()))
+    nodes = packed(cut(nodes.withColumn("nid", F.monotonically_increasing_id())))
     banded = nodes.select("nid", F.explode("bands").alias("group"))
     shared = banded.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(banded.join(shared, "group").select("group", "nid", "n"))
+    members = packed(cut(banded.join(shared, "group").select("group", "nid", "n")))
     candidates = components(members.select("group", "nid"))
     # the centre of a group: the node with most company in its bands
     company = members.groupBy("nid").agg(F.sum("n").alias("company"))
     ranked = candidates.join(company, "nid")
     centres = ranked.groupBy("label").agg(F.max(F.struct("company", F.negative("nid").alias("minus"))).alias("top")).select("label", (-F.col("top.minus")).alias("centre"))
-    placed = cut(ranked.join(centres, "label").join(nodes.select("nid", "tkey", "first"), "nid").select("nid", "tkey", "first", "label", "centre"))
+    placed = packed(cut(ranked.join(centres, "label").join(nodes.select("nid", "tkey", "first"), "nid").select("nid", "tkey", "first", "label", "centre")))
     # the text of a node comes from its first document; copies stay where they are
     at_first = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("at")
-    texts = cut(
-        keyed.select("tkey", at_first, "text")
-        .join(placed.withColumn("at", F.coalesce("first", F.lit(NO_ID))), ["tkey", "at"])
-        .dropDuplicates(["tkey", "at"])
-        .select("nid", "label", "centre", "text", F.octet_length("text").cast("long").alias("bytes"))
+    texts = packed(
+        cut(
+            keyed.select("tkey", at_first, "text")
+            .join(placed.withColumn("at", F.coalesce("first", F.lit(NO_ID))), ["tkey", "at"])
+            .dropDuplicates(["tkey", "at"])
+            .select("nid", "label", "centre", "text", F.octet_length("text").cast("long").alias("bytes"))
+        )
     )
     heart = texts.filter("nid = centre").select("label", F.col("text").alias("heart"))
 
@@ -242,7 +244,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
                     ok.append(similarity(weights, known) >= threshold)
             yield pa.RecordBatch.from_arrays([batch["nid"], batch["label"], batch["centre"], batch["bytes"], pa.array(ok, pa.bool_())], names=["nid", "label", "centre", "bytes", "settled"])
 
-    judged = cut(texts.join(heart, "label").mapInArrow(thrifty(compare), "nid long, label long, centre long, bytes long, settled boolean"))
+    judged = packed(cut(texts.join(heart, "label").mapInArrow(thrifty(compare), "nid long, label long, centre long, bytes long, settled boolean")))
     star = judged.filter("settled").select(F.col("label").alias("group"), "nid")
     # what is left: fresh nodes (f) and settled ones (s; connected already), in a whole group or in the bands that its
     # nodes share, whichever names fewer pairs; bands with the same nodes count once
@@ -254,7 +256,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     same_nodes = [F.bit_xor(F.xxhash64("nid")).alias("x"), F.sum(F.pmod(F.xxhash64("nid", F.lit(1)), F.lit(1 << 31))).alias("y")]
     in_bands = members.select("group", "nid").join(rest, "nid")
     shared_bands = in_bands.groupBy("label", "group").agg(*sizes_of, *same_nodes).filter("f > 0 and f + s > 1").groupBy("label", "x", "y", "f", "s").agg(F.min("group").alias("unit"), F.max("f_bytes").alias("f_bytes"), F.max("s_bytes").alias("s_bytes"))
-    shared_bands = cut(shared_bands.drop("x", "y"))
+    shared_bands = packed(cut(shared_bands.drop("x", "y")))
     groups = rest.groupBy("label").agg(*sizes_of).filter("f > 0 and f + s > 1")
     by_band = groups.join(shared_bands.groupBy("label").agg(F.sum(pairs_of).alias("pairs")), "label").filter(F.col("pairs") < pairs_of).select("label")
     kinds = ["by", "unit", "f", "s", "f_bytes", "s_bytes"]
@@ -287,16 +289,16 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
 
     # dealt by number: few bytes, but much work, so that partitions are not to be merged by size
     pairs_of_blocks = work.join(texts.select("nid", "text"), "nid").repartition(shuffle_parts(docs.sparkSession), "by", "unit", "a", "b")
-    linked = cut(pairs_of_blocks.groupBy("by", "unit", "a", "b").applyInArrow(block_links, "x long, y long"))
+    linked = packed(cut(pairs_of_blocks.groupBy("by", "unit", "a", "b").applyInArrow(block_links, "x long, y long")))
     edges = linked.select((-1 - F.monotonically_increasing_id()).alias("group"), F.array("x", "y").alias("pair")).select("group", F.explode("pair").alias("nid"))
     # a class: what the stars (named by their label) and the links (numbered below 0) connect
-    together = cut(star.union(edges))
+    together = packed(cut(star.union(edges)))
     classes = components(together)
     named = nodes.select("nid", "tkey", "first").join(classes, "nid", "left").select("tkey", "first", F.coalesce("label", F.col("nid")).alias("label"))
     least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "tkey")).alias("low")
     of_text = named.join(named.groupBy("label").agg(least), "label").select("tkey", "label", F.col("low.first").alias("class_id"), F.col("low.tkey").alias("first_key"))
     sizes = keyed.filter("text is not null").groupBy("tkey").agg(F.count("*").alias("copies"))
-    of_text = cut(of_text.join(sizes, "tkey"))
+    of_text = packed(cut(of_text.join(sizes, "tkey")))
     totals = of_text.groupBy("label").agg(F.sum("copies").alias("class_size"))
     return of_text.join(totals, "label").select("tkey", "class_id", "first_key", "class_size")
 

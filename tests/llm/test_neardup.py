@@ -117,3 +117,24 @@ def test_components_follow_only_what_is_open(spark, monkeypatch, few):
     assert len(set(label.values())) == 501
     assert sum(read) < 3 * len(label)
     assert components.components(members.limit(0)).count() == 0
+
+
+def test_small_parts_are_read_together(spark):
+    """The driver follows tasks by the bytes there are, not by the parts that happened to write them, and loses no row."""
+    context, was = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    members = spark.createDataFrame([(k // 2, k + k % 2) for k in range(2000)], "group long, nid long")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        context.setJobGroup("parts", "parts")
+        label = {r.nid: r.label for r in components.components(members).collect()}
+    finally:
+        context._jsc.clearJobGroup()
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("parts") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(tracker.getStageInfo(s).numCompletedTasks for s in stages)
+    nodes = {k + k % 2 for k in range(2000)}
+    assert set(label) == nodes and all((label[k] == label[k + 1 + (k + 1) % 2]) for k in range(0, 2000, 2))
+    assert 0 < tasks < 620
