@@ -1,8 +1,8 @@
 """Licence scans with a trained paragraph classifier, in built-in functions only.
 
 A paragraph ends at a line without letters and digits, so comment marks alone
-are a blank line. Each line that has licence vocabulary, and each paragraph of
-several lines that has it once joined, becomes its distinct words and word pairs. A multinomial logistic regression over them gives each
+are a blank line. Each line, and each paragraph of several lines once joined,
+becomes its distinct words and word pairs. A multinomial logistic regression over them gives each
 licence family and the class `unknown` a probability; the probabilities are
 calibrated by a temperature fitted to out-of-fold predictions, and below
 the threshold that reaches the wanted out-of-fold precision a paragraph is
@@ -12,13 +12,16 @@ version from others, and nothing that denies it. Joined paragraphs count
 only when confirmed, as long prose holds many words of the vocabulary; they find
 hard-wrapped notices, lines the short ones.
 
-The model is trained on the driver from the notices below, some 800 lines: notices, the families' names in sentences that grant
-something, and in others that deny or only mention it.
+The model is trained on the driver from the notices below, some 1300 lines: notices, the families' names in sentences that grant
+something, and in others that deny or only mention it, and everyday sentences in four languages.
+Every line is classified. Where even the sum of what each word and pair adds at most
+to any family over `unknown` leaves `unknown` ahead, that is the result and the
+probabilities, which are not part of it, are not worked out.
 Scoring is one projection over the scan: model and templates are constants of
 it, no row is shuffled and no Python runs on the executors.
 
 Cases: a null or empty text has no paragraph and no licence; paragraphs without
-licence vocabulary are `unknown`; ties go to the family first by name;
+any word of the model are `unknown`; ties go to the family first by name;
 repeated rows get equal results; other columns are ignored.
 """
 
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -56,6 +60,15 @@ OTHER = [
     "The nurse renewed her license in the state.", "The licence fee pays for public television.", "They discussed human rights and civil rights in court.", "The museum is open to the public on Monday.", "Creative people share a common office.", "The gnu is a large antelope.", "The general public may use the library.", "MIT is a university in Cambridge.", "The Apache helicopter landed at the base.", "A version of the software was released in spring.",
     "The source code form was filled in.", "The terms of the contract are under review.", "We use software without restriction at work.", "The foundation published a free report.", "License plates must be visible.", "Which license should I choose for my project?", "The lawyer explained copyright to the class.", "See the license file for details.", "The licensing department is closed.", "An unlicensed driver caused the accident.",
 ]
+#: Everyday sentences without licence vocabulary.
+PROSE = [
+    "Er kommt mit dem Zug nach Hause.", "Sie sprach mit ihrer Mutter und mit dem Arzt.", "Wir fahren mit der Bahn in die Stadt.", "Das Haus mit dem roten Dach ist alt.", "Mit den Kindern und mit der Katze ging er in den Garten.", "Ich trinke Kaffee mit Milch und Zucker.", "Der Mann mit der Brille liest die Zeitung.", "Es war nicht mit ihm zu reden.", "Komm mit!", "Mit freundlichen Grüßen", "Die Arbeit mit Holz macht mir Freude.", "Er ist mit 20 Jahren nach Berlin gezogen.",
+    "Sie wohnt mit ihrer Schwester in einem kleinen Haus, das mit Efeu bewachsen ist, und arbeitet mit alten Menschen.", "Der Hund und die Katze sind im Garten.", "Die Kinder spielen in der Schule und auf der Straße.", "Le chat est sur la table et le chien dort dans le jardin.", "Nous avons mangé avec des amis dans un petit restaurant.", "Il ne faut pas oublier les clefs de la maison.", "La version de ce document est la deuxième.", "El perro y el gato viven en la casa de mi hermana.", "No hay pan en la mesa, pero hay frutas.", "La libertad y los derechos de las personas son importantes.", "Una copia del libro está en la biblioteca.",
+    "The dog and the cat are in the garden.", "Version 2.0 of the report was released in 2021.", "The apache helicopter 2.0 is a model.", "She studied at MIT in Boston.", "The students of MIT met with students of Harvard.", "The film was released under a new title.", "The parcels were distributed under the supervision of the council.", "The shares were distributed to the owners.", "It is available under the counter.", "The eclipse of 2 August was visible in the north.", "The dog lay under the table for 3 hours.", "Version 3 is free of charge.", "Copies of the book were sent to all persons.", "A copy of the letter is in this file.", "The use of the hall is free for any purpose.",
+    "The library and the museum are closed on 4 May.", "He was released in 2 weeks.", "Use of the pool is governed by the rules of the club.", "The work was published by the author in 1990.", "A common man has creative ideas.", "The company distributed 3 million leaflets.", "Mozilla and Apache are names of foundations.", "The conditions of the contract are met.", "The author placed the book on the table.", "The international congress met in 4 cities.",
+]
+#: A word that is also the name of a family; without these the model would take it for the name in long German lines.
+PROSE += [f"{who} {does} mit {whom}." for who, does in (("Sie", "geht"), ("Er", "kommt"), ("Das Kind", "spielt"), ("Die Frau", "spricht"), ("Der Mann", "lebt"), ("Wer", "arbeitet")) for whom in ("ihm", "dem Hund", "der Frau", "den Kindern", "einem Freund", "uns")]
 #: Usual names of the families, and sentences that grant something under a name or only speak of it.
 NAMES = {
     "Apache-2.0": ["Apache License, Version 2.0", "Apache 2.0 license", "Apache License 2.0", "Apache Software License, version 2"],
@@ -73,6 +86,13 @@ NAMES = {
     "public-domain": ["CC0 1.0 Universal dedication", "Unlicense", "Creative Commons Zero license", "CC0 license"],
     "CC-BY-SA-4.0": ["CC BY-SA 4.0 license", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0 licence", "Creative Commons BY-SA license"],
 }
+#: Names as they stand without the word licence, and sentences for them.
+SHORT = {
+    "Apache-2.0": ["Apache 2.0", "Apache-2.0", "Apache v2"], "MIT": ["MIT", "MIT/Expat"], "BSD": ["BSD 3-Clause", "BSD 2-Clause", "BSD-3-Clause", "BSD"], "ISC": ["ISC"], "MPL-2.0": ["MPL 2.0", "MPL-2.0", "Mozilla Public 2.0"], "EPL-2.0": ["EPL 2.0", "EPL-2.0", "Eclipse Public 2.0"],
+    "GPL-3.0": ["GPLv3", "GPL-3.0", "GPL 3"], "GPL-2.0": ["GPLv2", "GPL-2.0", "GPL 2"], "LGPL": ["LGPL", "LGPL-2.1"], "AGPL-3.0": ["AGPLv3", "AGPL-3.0"], "CC-BY-4.0": ["CC BY 4.0", "CC-BY-4.0"], "CC-BY-NC-4.0": ["CC BY-NC 4.0"], "CC-BY-SA-4.0": ["CC BY-SA 4.0"], "public-domain": ["CC0", "CC0 1.0"],
+}
+SHORT_GRANTS = ["Released under {}.", "Distributed under {}.", "Available under {}.", "The code is released under {}.", "License: {}"]
+TITLES = ["{}", "The {}", "License: {}"]
 GRANTS = ["Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "The code is available under the {}.", "Use of this file is governed by the {}."]
 MENTIONS = ["This work is not licensed under the {}.", "The code was never released under the {}.", "It is no longer available under the {}.", "We compared the {} with others in our report.", "The student asked what the {} means.", "Should I choose the {} for my project?"]
 #: What a confirmed notice of a family must hold, one word or pair of each set, and what it must not hold.
@@ -105,12 +125,10 @@ NOT_WITH = {
 }
 #: Words and pairs that deny a notice.
 DENIALS = {"not licensed", "not released", "not available", "not distributed", "not dedicated", "never licensed", "never released", "no longer", "not in", "not under", "isn t", "wasn t", "not all", "without the"}
-CUES = r"(?i)licen[cs]|copyright|rights reserved|creative commons|\bcc[- ]?(?:by|0)|public domain|proprietary|permission|redistribut|warrant|\bgnu\b|\bspdx\b|\b[al]?gpl"
-#: The same over line ends, to pass by texts without any.
-GATE = CUES.replace("rights reserved", r"rights\W+reserved").replace("creative commons", r"creative\W+commons").replace("public domain", r"public\W+domain").replace("[- ]?", r"\W*")
 PRECISION, CONFIRM = 0.97, 0.6
+MARGIN = 0.01  # above what the rounding of weights can add up to in a line
 WORD = r"[^a-z0-9]+"
-BLANK, WRAP = r"\n(?:[^\p{L}\p{N}\n]*\n)+", r"\n[^\p{L}\p{N}]*"
+BLANK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"  # possessive: as many blank lines as there are need no stack
 
 
 def grams(line: str) -> list[str]:
@@ -137,9 +155,10 @@ def _fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 200, l2: floa
 
 def examples() -> list[tuple[str, str]]:
     """(line, family) of all training lines, in an order that deals each family and frame to all folds."""
-    out = [(t, f) for f, ts in sorted(NOTICES.items()) for t in ts] + [(t, UNKNOWN) for t in OTHER]
+    out = [(t, f) for f, ts in sorted(NOTICES.items()) for t in ts] + [(t, UNKNOWN) for t in OTHER + PROSE]
     named = [(f, n) for f, ns in sorted(NAMES.items()) for n in ns]
-    out += [(g.format(n), f) for g in GRANTS for f, n in named] + [(m.format(n), UNKNOWN) for m in MENTIONS for _, n in named]
+    out += [(g.format(n), f) for g in SHORT_GRANTS for f, ns in sorted(SHORT.items()) for n in ns]
+    out += [(g.format(n), f) for g in GRANTS + TITLES for f, n in named] + [(m.format(n), UNKNOWN) for m in MENTIONS for _, n in named]
     return sorted(out, key=lambda x: zlib.crc32(x[0].encode()))
 
 
@@ -181,19 +200,67 @@ def _doubles(values) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), WORD), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), WORD), "")
 
 
 def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))))
 
 
-def _units(paragraph: Column, at: Column) -> Column:
-    """Lines of a paragraph with licence vocabulary, and the whole if it has several lines: (paragraph, whole, words)."""
-    unit = lambda whole: lambda t: F.struct(at.alias("at"), F.lit(whole).alias("whole"), _words(t).alias("words"))
-    lines = F.filter(F.split(paragraph, "\n", -1), lambda t: t.rlike(CUES))
-    joined = F.filter(F.array(F.regexp_replace(paragraph, WRAP, " ")), lambda t: paragraph.contains("\n") & t.rlike(CUES))
-    return F.concat(F.transform(lines, unit(False)), F.transform(joined, unit(True)))
+def _places(vocabulary: list[str]):
+    """Expression for the place of a word or pair of the vocabulary, from 1: looked up among the few with its checksum's remainder."""
+    parts: list[list[str]] = [[] for _ in range(256)]
+    for g in vocabulary:
+        parts[zlib.crc32(g.encode()) % len(parts)].append(g)
+    place = {g: i + 1 for i, g in enumerate(vocabulary)}
+    names = F.array(*(_strings(p) for p in parts))
+    places = F.array(*(F.split(F.lit(",".join(str(place[g]) for g in p) or "0"), ",").cast("array<int>") for p in parts))
+
+    def place_of(x: Column) -> Column:
+        part = (F.crc32(x.cast("binary")) % len(parts) + 1).cast("int")
+        return F.element_at(F.element_at(places, part), F.array_position(F.element_at(names, part), x).cast("int"))
+
+    return place_of
+
+
+def _units(opening: Column | None):
+    def units(lines: Column, at: Column) -> Column:
+        """Lines of a paragraph, and the whole if it has several lines: (paragraph, whole, grams); lines: the words of each."""
+        unit = lambda whole: lambda w: F.struct(at.alias("at"), F.lit(whole).alias("whole"), _grams(w).alias("grams"))
+        some = lambda w: F.lit(True) if opening is None else F.arrays_overlap(w, opening)
+        joined = F.filter(F.array(F.flatten(lines)), lambda w: (F.size(lines) > 1) & some(w))
+        return F.concat(F.transform(F.filter(lines, some), unit(False)), F.transform(joined, unit(True)))
+
+    return units
+
+
+def _lead(model: dict) -> tuple[np.ndarray, float]:
+    """The most that each gram adds to any family over `unknown`, and the most that a family has over it without any gram."""
+    w, b = model["weights"], model["bias"]
+    return (w[:, :-1] - w[:, -1:]).max(axis=1), float((b[:-1] - b[-1]).max())
+
+
+def opening_words(model: dict) -> list[str]:
+    """Words of which a line must hold one to be anything but `unknown`; none if even a line without words could be named.
+
+    Each gram that adds to a family over `unknown` is counted with one of its words.
+    Left out are usual words whose grams, all taken together, would not suffice.
+    So this follows from the weights, and no line is lost.
+    """
+    over, start = _lead(model)
+    room = -start - MARGIN
+    if room < 0:
+        return []
+    adds = {g: o for g, o in zip(model["vocabulary"], over, strict=True) if o > 0}
+    often = Counter(w for t in PROSE + OTHER for w in set(re.split(WORD, t.lower())))
+    single = {g for g in adds if " " not in g}
+    cost: dict[str, float] = defaultdict(float)
+    for g, o in adds.items():
+        cost[min(g.split(" "), key=lambda w: (w not in single, often[w], w))] += o
+    for w in sorted(cost, key=lambda w: (cost[w] / (often[w] + 0.1), w)):
+        if cost[w] <= room:
+            room -= cost.pop(w)
+    return sorted(cost)
 
 
 def scan_licenses(docs: DataFrame, model: dict | None = None) -> DataFrame:
@@ -206,11 +273,21 @@ def scan_licenses(docs: DataFrame, model: dict | None = None) -> DataFrame:
     model = model or train()
     families, last = model["families"], len(model["families"])
     text = F.coalesce(F.col("text"), F.lit(""))
-    paragraphs = F.when(text.rlike(GATE), F.split(text, BLANK, -1)).otherwise(F.array().cast("array<string>"))
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.flatten(F.transform(paragraphs, _units)).alias("units"))
-    a = units.select("doc_id", F.transform("units", lambda u: F.struct(u["at"], u["whole"])).alias("place"), F.transform("units", lambda u: _grams(u["words"])).alias("grams"))
-    known = lambda g: F.filter(F.transform(F.array_intersect(g, _strings(model["vocabulary"])), lambda x: F.array_position(_strings(model["vocabulary"]), x)), lambda i: i > 0)
-    b = a.select("doc_id", "place", "grams", F.transform("grams", known).alias("at"))
+    paragraphs = F.transform(F.split(text, BLANK, -1), lambda p: F.transform(F.split(p, "\n", -1), _words))
+    words = opening_words(model)
+    opening = _strings(words) if words else None
+    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.flatten(F.transform(paragraphs, _units(opening))).alias("units"))
+    # what the document has of the vocabulary, so that each unit is held against that little only
+    found = units.select("doc_id", "units", F.array_intersect(F.flatten("units.grams"), _strings(model["vocabulary"])).alias("here"))
+    place_of = _places(model["vocabulary"])
+    known = lambda g: F.transform(F.array_intersect(g, F.col("here")), place_of)
+    # `here` is used twice: an optimizer that moved it into the lambda would work it out for each unit
+    seen = found.select("doc_id", F.transform(F.filter("units", lambda u: F.size("here") >= 0), lambda u: F.struct(u["at"], u["whole"], u["grams"], known(u["grams"]).alias("known"))).alias("units"))
+    # no family can be ahead of `unknown` where the most that each gram adds to any does not make it so
+    over, start = _lead(model)
+    reach = lambda at: F.aggregate(at, F.lit(start), lambda s, i: s + F.element_at(_doubles(over), i))
+    open_ = seen.select("doc_id", F.filter("units", lambda u: reach(u["known"]) > -MARGIN).alias("units"))
+    b = open_.select("doc_id", F.transform("units", lambda u: F.struct(u["at"], u["whole"])).alias("place"), F.col("units.grams").alias("grams"), F.col("units.known").alias("at"))
 
     def adder(w: Column):
         return lambda s, i: s + F.element_at(w, i.cast("int"))

@@ -79,3 +79,23 @@ def test_denials_versions_and_neighbours_are_told_apart(spark):
 def test_long_lines(spark):
     got = scan(spark, ["word " * 100_000 + "\nReleased under the MIT License.", "licence " * 50_000])
     assert got[0].licenses == ["MIT"] and not got[1].confirmed
+
+
+def test_lines_without_licence_vocabulary_are_classified(spark, docs):
+    """No word decides what the model sees: every line gets what the model says of it."""
+    import numpy as np
+
+    named = {"Released under BSD 3-Clause.": "BSD", "Distributed under Apache 2.0": "Apache-2.0", "Available under MPL 2.0.": "MPL-2.0", "Released under MIT.": "MIT", "Er ist mit dem Zug und mit uns gekommen.": "unknown"}
+    lines = [*named, *sorted({line for r in docs.limit(60).collect() for line in (r.text or "").split("\n")})]
+    got = scan(spark, lines)
+    assert [r.license for r in got[: len(named)]] == list(named.values())
+    model = licenses.train()
+    for line, r in zip(lines, got, strict=True):
+        at = [model["vocabulary"].index(g) for g in licenses.grams(line) if g in model["vocabulary"]]
+        z = model["weights"][at].sum(axis=0) + model["bias"]
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        family = model["families"][p.argmax()]
+        want = (family, p.max()) if p.max() >= model["threshold"] and family != licenses.UNKNOWN else (licenses.UNKNOWN, 0)
+        assert r.license == want[0] and abs(r.probability - want[1]) < 1e-4, line
+    among = scan(spark, ["plain prose\n\nReleased under BSD 3-Clause.\nmore prose", "\n" * 200_000 + "Distributed under Apache 2.0" + "\n \n" * 100_000])
+    assert [r.license for r in among] == ["BSD", "Apache-2.0"]
