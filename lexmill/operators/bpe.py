@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.tokens import END_OF_TEXT, PATTERN, pretoken_counts
 from ..session import cut
 
-MAX_WORDS = 20_000_000  # distinct pre-tokens that training holds on the driver
+DRIVER_BYTES = 4 << 20  # of distinct pre-tokens that training holds on the driver
+BLOCK_WORDS = 1 << 17  # that a task holds at a time, beside the batch
+REPLAY = 24  # merges after which the words are written down anew
 
 
 @dataclass
@@ -101,83 +104,197 @@ def printable_bytes() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-def train_from_counts(counts: Iterable[tuple[str, int]], vocab_size: int, special: Iterable[str] = ()) -> Tokenizer:
-    """Merge the most frequent neighbouring pair, of equals the greatest by bytes, until the vocabulary is full.
+class Words:
+    """Distinct words as one array of tokens, a separator behind each, and the count of each word."""
 
-    All words lie in one array of tokens, a separator behind each; a merge is a few
-    array operations, and pair counts change only around the merged places. Counts in
-    the queue that are out of date are skipped as they surface.
-    """
-    special = list(special)
-    vocab = {b: bytes([b]) for b in range(256)}
-    words, ns = [], []
-    for word, n in counts:
-        words.append(word.encode())
-        ns.append(n)
-    token = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int32)
-    size = np.array([len(w) + 1 for w in words], np.int64)
-    token[np.cumsum(size) - 1] = -1
-    weight = np.repeat(np.array(ns, np.int64), size)
-    tally: dict[int, int] = {}
-
-    def pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pair, summed weight) of the pairs that begin at some places; a pair is left << 32 | right."""
+    def __init__(self, token: np.ndarray, ns: np.ndarray) -> None:
+        self.token, self.ns, self.gap = token, ns, np.iinfo(token.dtype).max
+
+    @classmethod
+    def of(cls, words: list[bytes], ns: list[int], vocab_size: int) -> Words:
+        token = np.frombuffer(b"".join(w + b"\0" for w in words), np.uint8).astype(np.uint16 if vocab_size < 1 << 16 else np.uint32)
+        token[np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1] = np.iinfo(token.dtype).max
+        return cls(token, np.array(ns, np.int64))
+
+    def pairs(self, at: np.ndarray | None = None) -> dict[int, int]:
+        """Summed counts of the pairs that begin at some places, or at all; a pair is left << 32 | right."""
+        token = self.token
+        at = np.arange(len(token)) if at is None else at
         at = at[(at >= 0) & (at < len(token) - 1)]
-        at = at[(token[at] >= 0) & (token[at + 1] >= 0)]
-        names, inverse = np.unique((token[at].astype(np.int64) << 32) | token[at + 1], return_inverse=True)
+        at = at[(token[at] != self.gap) & (token[at + 1] != self.gap)]
+        names, inverse = np.unique((token[at].astype(np.int64) << 32) | token[at + 1].astype(np.int64), return_inverse=True)
         total = np.zeros(len(names), np.int64)
-        np.add.at(total, inverse, weight[at])
-        return names, total
+        np.add.at(total, inverse, self.ns[np.searchsorted(np.flatnonzero(token == self.gap), at)])
+        return dict(zip(names.tolist(), total.tolist(), strict=True))
+
+    def merge(self, pair: int, new: int, change: Counter | None = None) -> None:
+        """Merge a pair everywhere; what that adds to the count of each pair goes to change."""
+        left, right, token = pair >> 32, pair & 0xFFFFFFFF, self.token
+        hit = np.flatnonzero((token[:-1] == left) & (token[1:] == right))
+        if not len(hit):
+            return
+        if left == right:  # of a run of places that overlap every second one, from the left
+            fresh = np.concatenate(([True], np.diff(hit) > 1))
+            run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+        if change is not None:
+            change.subtract(self.pairs(np.unique(np.concatenate((hit - 1, hit, hit + 1)))))
+        token[hit] = new
+        stay = np.ones(len(token), bool)
+        stay[hit + 1] = False
+        self.token = token[stay]
+        if change is not None:
+            at = hit - np.arange(len(hit))
+            change.update(self.pairs(np.unique(np.concatenate((at - 1, at)))))
+
 
+def _order(tally: dict[int, int], vocab: dict[int, bytes]):
+    """Sorts pairs by what is merged first: the greatest count, then the greatest bytes."""
     falling = lambda b: (*(255 - x for x in b), 256)  # noqa: E731  greater bytes sort first
-    entry = lambda p: (-tally[p], falling(vocab[p >> 32]), falling(vocab[p & 0xFFFFFFFF]), p)
-    for p, n in zip(*(x.tolist() for x in pairs(np.arange(len(token)))), strict=True):
-        tally[p] = n
-    queue = [entry(p) for p in tally]
+    return lambda p: (-tally[p], falling(vocab[p >> 32]), falling(vocab[p & 0xFFFFFFFF]), p)
+
+
+def _apply(tally: dict[int, int], change: Iterable[tuple[int, int]]) -> Iterator[int]:
+    """Adds to counts; the pairs that changed and still occur."""
+    for p, k in change:
+        if k:
+            tally[p] = tally.get(p, 0) + k
+            if tally[p] > 0:
+                yield p
+            else:
+                del tally[p]
+
+
+def _tokenizer(vocab: dict[int, bytes], merges: list[int], special: list[str]) -> Tokenizer:
+    return Tokenizer(vocab | {len(vocab) + k: s.encode() for k, s in enumerate(special)}, [(vocab[p >> 32], vocab[p & 0xFFFFFFFF]) for p in merges], special)
+
+
+def train_from_counts(counts: Iterable[tuple[str, int]], vocab_size: int, special: Iterable[str] = ()) -> Tokenizer:
+    """Merge the most frequent neighbouring pair, of equals the greatest by bytes, until the vocabulary is full.
+
+    A merge is a few array operations, and pair counts change only around the merged
+    places. Counts in the queue that are out of date are skipped as they surface.
+    """
+    special, counts = list(special), list(counts)
+    vocab = {b: bytes([b]) for b in range(256)}
+    words = Words.of([w.encode() for w, _ in counts], [n for _, n in counts], vocab_size)
+    tally = words.pairs()
+    order = _order(tally, vocab)
+    queue = [order(p) for p in tally]
     heapq.heapify(queue)
-    merges: list[tuple[bytes, bytes]] = []
+    merges: list[int] = []
     while queue and len(vocab) < vocab_size - len(special):
         n, _, _, pair = heapq.heappop(queue)
         if -n != tally.get(pair, 0) or n == 0:
             continue
-        left, right, new = pair >> 32, pair & 0xFFFFFFFF, len(vocab)
-        vocab[new] = vocab[left] + vocab[right]
-        merges.append((vocab[left], vocab[right]))
-        hit = np.flatnonzero(token[:-1] == left)
-        hit = hit[token[hit + 1] == right]
-        if left == right and len(hit):  # of a run of places that overlap every second one, from the left
-            fresh = np.concatenate(([True], np.diff(hit) > 1))
-            run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-            hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        change: dict[int, int] = {}
-        around = np.unique(np.concatenate((hit - 1, hit, hit + 1)))
-        for p, k in zip(*(x.tolist() for x in pairs(around)), strict=True):
-            change[p] = -k
-        token[hit] = new
-        stay = np.ones(len(token), bool)
-        stay[hit + 1] = False
-        token, weight = token[stay], weight[stay]
-        at = hit - np.arange(len(hit))
-        for p, k in zip(*(x.tolist() for x in pairs(np.unique(np.concatenate((at - 1, at))))), strict=True):
-            change[p] = change.get(p, 0) + k
-        for p, k in change.items():
-            if k:
-                tally[p] = tally.get(p, 0) + k
-                if tally[p] > 0:
-                    heapq.heappush(queue, entry(p))
-                else:
-                    del tally[p]
-    return Tokenizer(vocab | {len(vocab) + k: s.encode() for k, s in enumerate(special)}, merges, special)
-
-
-def train(docs: DataFrame, vocab_size: int, special: Iterable[str] = (END_OF_TEXT,), max_words: int = MAX_WORDS) -> Tokenizer:
-    """Spark counts pre-tokens; the merge loop runs on the driver over the distinct ones.
-
-    A corpus with more than `max_words` distinct pre-tokens is refused: it does not fit there.
+        new, change = len(vocab), Counter()
+        vocab[new] = vocab[pair >> 32] + vocab[pair & 0xFFFFFFFF]
+        merges.append(pair)
+        words.merge(pair, new, change)
+        for p in _apply(tally, change.items()):
+            heapq.heappush(queue, order(p))
+    return _tokenizer(vocab, merges, special)
+
+
+def _certain(tally: dict[int, int], vocab: dict[int, bytes], room: int) -> list[int]:
+    """The next merges that follow from the counts as they are, one at least.
+
+    A merge lowers the counts of pairs that begin with its right or end with its left
+    token, and makes new pairs with no more than these had. So the pairs next in order are
+    next to be merged as long as none is such a pair and all have greater counts than those.
+    """
+    begins, ends = Counter(), Counter()
+    for p, n in tally.items():
+        begins[p >> 32] = max(begins[p >> 32], n)
+        ends[p & 0xFFFFFFFF] = max(ends[p & 0xFFFFFFFF], n)
+    found, lefts, rights, bar = [], set(), set(), 0
+    for p in heapq.nsmallest(min(room, 256), tally, key=_order(tally, vocab)):
+        left, right = p >> 32, p & 0xFFFFFFFF
+        if tally[p] <= bar or left in rights or right in lefts:
+            break
+        found.append(p)
+        lefts.add(left)
+        rights.add(right)
+        bar = max(bar, begins[right], ends[left])
+    return found
+
+
+def train_apart(counts: DataFrame, vocab_size: int, special: Iterable[str] = ()) -> Tokenizer:
+    """train_from_counts of (tok, n) with the words left where they are: the driver holds pair counts only.
+
+    Each round takes all merges that are certain; tasks make them in their words and return
+    how pair counts change. The words are written down with the merges every REPLAY merges.
+    """
+    spark, special = counts.sparkSession, list(special)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_WORDS):
+                part = batch.slice(start, BLOCK_WORDS)
+                yield row(Words.of([w.encode() for w in part["tok"].to_pylist()], part["n"].to_pylist(), vocab_size))
+
+    def row(words: Words) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"token": pa.array([words.token.tobytes()], pa.binary()), "ns": pa.array([words.ns.tobytes()], pa.binary())})
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+        kind = np.uint16 if vocab_size < 1 << 16 else np.uint32
+        for batch in batches:
+            for token, ns in zip(batch["token"], batch["ns"], strict=True):
+                yield Words(np.frombuffer(token.as_buffer(), kind).copy(), np.frombuffer(ns.as_buffer(), np.int64))
+
+    def merged(made: list[tuple[int, int]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for words in unpacked(batches):
+                for step in made:
+                    words.merge(*step)
+                yield row(words)
+
+        return run
+
+    def changes(made: list[tuple[int, int]], batch: list[tuple[int, int]] | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = Counter()
+            for words in unpacked(batches):
+                for step in made:
+                    words.merge(*step)
+                if batch is None:
+                    total.update(words.pairs())
+                for step in batch or ():
+                    words.merge(*step, total)
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(total.keys(), pa.int64()), "n": pa.array(total.values(), pa.int64())})
+
+        rows = blocks.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        return zip(rows["pair"].to_pylist(), rows["n"].to_pylist(), strict=True)
+
+    blocks = cut(counts.repartition(spark.sparkContext.defaultParallelism, "tok").mapInArrow(pack, "token binary, ns binary"))
+    vocab, tally = {b: bytes([b]) for b in range(256)}, dict(changes([], None))
+    merges: list[int] = []
+    made: list[tuple[int, int]] = []
+    while tally and len(vocab) < vocab_size - len(special):
+        if len(made) >= REPLAY:
+            blocks, made = cut(blocks.mapInArrow(merged(made), blocks.schema)), []
+        batch = []
+        for p in _certain(tally, vocab, vocab_size - len(special) - len(vocab)):
+            batch.append((p, len(vocab)))
+            vocab[len(vocab)] = vocab[p >> 32] + vocab[p & 0xFFFFFFFF]
+            merges.append(p)
+        for _ in _apply(tally, changes(made, batch)):
+            pass
+        made += batch
+    return _tokenizer(vocab, merges, special)
+
+
+def train(docs: DataFrame, vocab_size: int, special: Iterable[str] = (END_OF_TEXT,), max_words: int | None = None) -> Tokenizer:
+    """Spark counts pre-tokens; up to DRIVER_BYTES of distinct ones are merged on the driver, more where they are.
+
+    The result is the same. A corpus with more than `max_words` distinct pre-tokens, if given, is refused.
     """
     counts = cut(pretoken_counts(docs).filter(F.octet_length("tok") > 1))  # one byte has no pair
-    if counts.count() > max_words:
+    n, size = counts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("tok")), F.lit(0))).first()
+    if max_words is not None and n > max_words:
         raise ValueError(f"more than {max_words} distinct pre-tokens; raise max_words or train on fewer documents")
+    if size > DRIVER_BYTES:
+        return train_apart(counts, vocab_size, special)
     rows = counts.toArrow()
     return train_from_counts(sorted(zip(rows["tok"].to_pylist(), rows["n"].to_pylist(), strict=True)), vocab_size, special)
 

@@ -141,3 +141,17 @@ def test_training_limit_of_133_kb(spark, sf):
     began = time.perf_counter()
     assert len(bpe.train_from_counts(sorted(counts.items()), 500).merges) == 244
     assert time.perf_counter() - began < 5
+
+
+def test_words_left_where_they_are_give_the_same_merges(spark, sf, monkeypatch):
+    """The driver gets pair counts, never the words; runs of one letter and ties included."""
+    rows = [(1, "aaaa aaa aa aaaaaaa bbbb abab baba"), (2, "ab ba ab ba xyz zyx xyz zyx"), (3, "né né éé ééé 日本語 日本"), (4, None), (5, "")]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    for docs, size in ((few, 290), (few, 70_000), (spark.read.parquet(f"{sf}/documents.parquet"), 340)):
+        want = bpe.train_from_counts(sorted(pretoken_counts(docs).collect()), size, ["<|endoftext|>"])
+        with monkeypatch.context() as m:
+            m.setattr(bpe, "DRIVER_BYTES", 0)
+            m.setattr(bpe, "REPLAY", 3)
+            m.setattr(bpe, "train_from_counts", None)
+            got = bpe.train(docs, size)
+        assert got.merges == want.merges and got.vocab == want.vocab
