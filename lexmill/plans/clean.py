@@ -16,9 +16,9 @@ STEPS = ("extract", "lang", "pii", "quality", "dedup")
 LEAST_CHARS = 100
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(doc_id, text, source) of pages (page_id, url, html) with more than LEAST_CHARS characters of text."""
-    return long_enough(pages.select(F.col("page_id").alias("doc_id"), html_to_text(F.col("html")).alias("text"), F.col("url").alias("source")))
+def extract(pages: DataFrame, stated: bool = False) -> DataFrame:
+    """(doc_id, text, source) of pages (page_id, url, html) with more than LEAST_CHARS characters of text; stated as in html_to_text."""
+    return long_enough(pages.select(F.col("page_id").alias("doc_id"), html_to_text(F.col("html"), stated).alias("text"), F.col("url").alias("source")))
 
 
 def long_enough(docs: DataFrame) -> DataFrame:
