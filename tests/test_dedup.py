@@ -55,3 +55,36 @@ def test_short_texts_by_variant(spark):
 def test_coefficients_are_distinct():
     rules = minhash.coefficients(128)
     assert len(set(rules)) == 128 and all(0 < a < minhash.PRIME for a, _ in rules) and all(x != y for x, y in pairwise(rules))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 6)), max_size=24))
+def test_drop_in_buckets_is_a_scan_in_order(spark, raw):
+    at = set(raw)
+    near = {x: {y for k in {k for i, k in at if i == x} for y, j in at if j == k and y != x} for x, _ in at}
+    kept = set()
+    for x in sorted(near):
+        kept |= {x} - set().union(*(near[y] for y in kept))
+    got = {r.doc_id for r in minhash.drop_in_buckets(spark.createDataFrame(sorted(at), "doc_id long, key long")).collect()}
+    assert got == set(near) - kept
+
+
+def test_a_large_bucket_is_not_squared(spark, monkeypatch):
+    """Texts without a shingle share all buckets; ids null and repeated, null and equal texts included."""
+    monkeypatch.setattr(minhash, "candidates", None)
+    rows = [*((i, f"w{i}") for i in range(2, 900)), (1, " ".join("abcdefgh")), (None, "w2"), (None, "none"), (1000, None), (1, "w1"), (1001, " ".join("abcdefgh"))]
+    got = [r.doc_id for r in minhash.keep_first(docs(spark, rows), 16, 4, 4, 3, short=False).collect()]
+    assert sorted(got, key=str) == [1, 1, None]
+
+
+def test_signatures_equal_their_definition(spark):
+    import hashlib
+
+    texts = ["", "One", "a b c d e f g h", "É Ü　x Y\x1cz W q r", " ".join(f"w{i % 701}" for i in range(20_000)), None]
+    for k, short in ((3, False), (5, True)):
+        got = {r.doc_id: r.sig for r in minhash.signatures(docs(spark, list(enumerate(texts))), 20, k, short).collect()}
+        for i, t in enumerate(texts):
+            ws = (t or "").lower().split()
+            grams = {" ".join(ws[j : j + k]) for j in range(max(len(ws) - k + 1, 1))} if t is not None and (short or len(ws) >= k) else ()
+            hs = [int(hashlib.md5(g.encode()).hexdigest()[:7], 16) for g in grams]
+            assert got[i] == [min(((h * a + b) % minhash.PRIME for h in hs), default=minhash.PRIME) for a, b in minhash.coefficients(20)]
