@@ -88,3 +88,13 @@ def test_signatures_equal_their_definition(spark):
             grams = {" ".join(ws[j : j + k]) for j in range(max(len(ws) - k + 1, 1))} if t is not None and (short or len(ws) >= k) else ()
             hs = [int(hashlib.md5(g.encode()).hexdigest()[:7], 16) for g in grams]
             assert got[i] == [min(((h * a + b) % minhash.PRIME for h in hs), default=minhash.PRIME) for a, b in minhash.coefficients(20)]
+
+
+def test_strict_buckets_drop_what_pairs_drop(spark, sf, monkeypatch):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    firsts = dedup.exact_dedup(rows)
+    pairs = minhash.candidates(minhash.signatures(firsts, 100, 5), 8, 12)
+    dropped = {r.id for r in minhash.greedy_drop(pairs).collect()}
+    monkeypatch.setattr(minhash, "candidates", None)
+    got = {r.doc_id for r in minhash.keep_first(rows, 100, 8, 12, 5).collect()}
+    assert dropped and got == {r.doc_id for r in firsts.collect()} - dropped
