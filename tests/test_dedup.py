@@ -98,3 +98,12 @@ def test_strict_buckets_drop_what_pairs_drop(spark, sf, monkeypatch):
     monkeypatch.setattr(minhash, "candidates", None)
     got = {r.doc_id for r in minhash.keep_first(rows, 100, 8, 12, 5).collect()}
     assert dropped and got == {r.doc_id for r in firsts.collect()} - dropped
+
+
+def test_the_near_plan_makes_no_pairs(spark, monkeypatch):
+    from lexmill.plans import clean
+
+    monkeypatch.setattr(minhash, "candidates", None)
+    rows = [*((i, f"w{i}") for i in range(500)), (500, "w3"), (501, "one two three four"), (502, "one two three four")]
+    got = clean.run(docs(spark, rows), ("dedup",), near=True).collect()
+    assert sorted(map(tuple, got)) == [(0, "w0"), (501, "one two three four")]
